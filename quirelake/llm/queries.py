@@ -8,11 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import leaks, pieces, textform
+from . import encoding, leaks, pieces, textform
 
 _CHAPTERS = ("id", "content")
 
 
+def _p1(spark: SparkSession, sf: str, with_text: bool) -> DataFrame:
+    chapters = spread(table(spark, sf, "chapters", *_CHAPTERS), "id").withColumnRenamed("content", "text")
+    names = spread(table(spark, sf, "characters", "id", "name"), "id").withColumnRenamed("name", "text")
+    model = encoding.learn((chapters, "text"), (names, "text"))
+    parts = [
+        encoding.repaired(df, "id", "text", model, with_text).withColumn("src", F.lit(src)).withColumnRenamed("id", "row_id")
+        for src, df in (("chapters", chapters), ("characters", names))
+    ]
+    return parts[0].unionByName(parts[1]).where("garbled_words > 0")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p1(spark, sf, False).select("src", "row_id")
+
+
+def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """The damaged rows with their text given back; lost_words counts what is past repair."""
+    return _p1(spark, sf, True).select("src", "row_id", "garbled_words", "lost_words", "repaired")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     chapters = spread(table(spark, sf, "chapters", *_CHAPTERS), "id")
     cut = pieces.piece_table(chapters, "id", "content", with_text=False)
