@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import encoding, leaks, pieces, textform
+from . import encoding, leaks, pieces, sentences, textform
 
 _CHAPTERS = ("id", "content")
 
@@ -55,6 +55,23 @@ def p3_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return textform.normalized(chapters, "id", "content").withColumnRenamed("id", "chapter_id")
 
 
+def _of_books(chapters: DataFrame, books: DataFrame) -> DataFrame:
+    """Chapters of the given books; their ids are broadcast only if they were counted to be few."""
+    ids = books.select(F.col("id").alias("book_id"))
+    return chapters.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "book_id", "left_semi")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    epub = table(spark, sf, "books", "id", "file_type").where("file_type = 'epub'")
+    chapters = _of_books(table(spark, sf, "chapters", "id", "book_id", "content"), epub).select("id", "content")
+    units = table(spark, sf, "speaker_annotations", "id", "unit_text")
+    parts = [
+        sentences.sentence_starts(spread(df, "id"), "id", text).select(F.lit(src).alias("src"), F.col("id").alias("row_id"), "start_pos")
+        for src, df, text in (("chapters", chapters, "content"), ("speaker_annotations", units, "unit_text"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = leaks.leaked(
         table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "eval_items", "item_id", "text"),
