@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
-from . import encoding, leaks, pieces, sentences, textform
+from ..session import durable, spread, table
+from . import encoding, language, leaks, pieces, sentences, textform
 
 _CHAPTERS = ("id", "content")
 
@@ -55,6 +55,38 @@ def p3_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return textform.normalized(chapters, "id", "content").withColumnRenamed("id", "chapter_id")
 
 
+def _p4_passages(spark: SparkSession, sf: str) -> DataFrame:
+    books = table(spark, sf, "books", "id", "language").select(F.col("id").alias("book_id"), language.label_expr("language").alias("label"))
+    chapters = table(spark, sf, "chapters", "id", "book_id", "content")
+    model = language.learn(chapters.join(books, "book_id"), "content", "label")
+    return language.passage_table(spread(chapters, "id"), "id", "content", model, "book_id")
+
+
+def _p4_books(passages: DataFrame) -> DataFrame:
+    """Main language of each book: the one most of its text is in."""
+    size = passages.groupBy("book_id", "lang").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("chars"), F.sum(F.col("confidence") * (F.col("end_pos") - F.col("start_pos"))).alias("sure"))
+    top = size.groupBy("book_id").agg(F.max(F.struct("chars", "lang", "sure")).alias("top"), F.sum("chars").alias("total"))
+    return top.select("book_id", "top.lang", (F.col("top.sure") / F.col("total")).alias("confidence"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    passages = durable(_p4_passages(spark, sf))
+    label = table(spark, sf, "books", "id", "language").select(F.col("id").alias("book_id"), language.label_expr("language").alias("label"))
+    wrong = _p4_books(passages).join(label, "book_id").where("label is null or label <> lang")
+    mixed = passages.where("sentences >= 3 and lang <> main_lang").select("id", "lang").distinct()
+    return wrong.select(F.lit("books").alias("src"), F.col("book_id").alias("row_id"), "lang").unionByName(
+        mixed.select(F.lit("chapters").alias("src"), F.col("id").alias("row_id"), "lang")
+    )
+
+
+def p4_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return _p4_passages(spark, sf).withColumnRenamed("id", "chapter_id")
+
+
+def p4_books(spark: SparkSession, sf: str) -> DataFrame:
+    return _p4_books(_p4_passages(spark, sf))
+
+
 def _of_books(chapters: DataFrame, books: DataFrame) -> DataFrame:
     """Chapters of the given books; their ids are broadcast only if they were counted to be few."""
     ids = books.select(F.col("id").alias("book_id"))
