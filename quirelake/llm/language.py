@@ -246,9 +246,10 @@ def passage_table(df: DataFrame, key: str, text: str, model: Discriminator, *kee
                 folded = fold(pa.array(part.iloc[:, -1], pa.string())).to_pylist()
                 for ids, t in zip(part.iloc[:, :-1].itertuples(index=False, name=None), folded):
                     got = passages(t, own)
-                    size: dict[str, int] = {}
-                    for s, e, lang, *_ in got:
-                        size[lang] = size.get(lang, 0) + e - s
+                    size: dict[str, tuple[int, int]] = {}
+                    for s, e, lang, _, k in got:  # sentences weigh alike in all scripts
+                        n0, c0 = size.get(lang, (0, 0))
+                        size[lang] = (n0 + k, c0 + e - s)
                     main = max(size, key=lambda x: (size[x], x)) if size else None
                     rows += [(*ids, n, *g, main) for n, g in enumerate(got)]
             yield pd.DataFrame(rows, columns=cols)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable, spread, table
-from . import encoding, language, leaks, pieces, sentences, textform
+from . import encoding, language, leaks, names, pieces, sentences, textform
 
 _CHAPTERS = ("id", "content")
 
@@ -64,8 +64,8 @@ def _p4_passages(spark: SparkSession, sf: str) -> DataFrame:
 
 def _p4_books(passages: DataFrame) -> DataFrame:
     """Main language of each book: the one most of its text is in."""
-    size = passages.groupBy("book_id", "lang").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("chars"), F.sum(F.col("confidence") * (F.col("end_pos") - F.col("start_pos"))).alias("sure"))
-    top = size.groupBy("book_id").agg(F.max(F.struct("chars", "lang", "sure")).alias("top"), F.sum("chars").alias("total"))
+    size = passages.groupBy("book_id", "lang").agg(F.sum("sentences").alias("size"), F.sum(F.col("confidence") * F.col("sentences")).alias("sure"))
+    top = size.groupBy("book_id").agg(F.max(F.struct("size", "lang", "sure")).alias("top"), F.sum("size").alias("total"))
     return top.select("book_id", "top.lang", (F.col("top.sure") / F.col("total")).alias("confidence"))
 
 
@@ -87,6 +87,14 @@ def p4_books(spark: SparkSession, sf: str) -> DataFrame:
     return _p4_books(_p4_passages(spark, sf))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    cast = table(spark, sf, "characters", "book_id", "name")
+    said = table(spark, sf, "speaker_annotations", "book_id", F.col("speaker_name").alias("name"))
+    chapters = spread(table(spark, sf, "chapters", *_CHAPTERS), "id")
+    model = encoding.learn((chapters, "content"), (cast, "name"))
+    return names.variant_pairs(cast.unionByName(said), "book_id", "name", model)
+
+
 def _of_books(chapters: DataFrame, books: DataFrame) -> DataFrame:
     """Chapters of the given books; their ids are broadcast only if they were counted to be few."""
     ids = books.select(F.col("id").alias("book_id"))
