@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable, spread, table
-from . import encoding, language, leaks, names, pieces, sentences, textform
+from . import encoding, language, leaks, names, pieces, scans, sentences, textform
 
 _CHAPTERS = ("id", "content")
 
@@ -95,6 +95,16 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.variant_pairs(cast.unionByName(said), "book_id", "name", model)
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    chapters = spread(table(spark, sf, "chapters", *_CHAPTERS), "id")
+    return scans.damaged(chapters, "id", "content").select(F.col("id").alias("chapter_id"))
+
+
+def p6_mended(spark: SparkSession, sf: str) -> DataFrame:
+    chapters = spread(table(spark, sf, "chapters", *_CHAPTERS), "id")
+    return scans.mended(chapters, "id", "content").withColumnRenamed("id", "chapter_id")
+
+
 def _of_books(chapters: DataFrame, books: DataFrame) -> DataFrame:
     """Chapters of the given books; their ids are broadcast only if they were counted to be few."""
     ids = books.select(F.col("id").alias("book_id"))
