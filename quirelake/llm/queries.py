@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable, spread, table
-from . import encoding, language, leaks, names, pieces, scans, sentences, textform
+from . import encoding, language, leaks, names, pieces, scans, sentences, subjects, textform
 
 _CHAPTERS = ("id", "content")
 
@@ -135,6 +135,23 @@ def p8_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "eval_items", "item_id", "text"))
 
 
+def _p10(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents", "doc_id", "text", "lang")
+    model = subjects.learn(docs, table(spark, sf, "subject_labels", "doc_id", "subject"), table(spark, sf, "subjects", "subject"), table(spark, sf, "eval_items", "text"))
+    return subjects.assign(docs, model)
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p10(spark, sf).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of each subject in the corpus, by documents and by sentences."""
+    total = table(spark, sf, "documents", "doc_id").count()
+    got = _p10(spark, sf).groupBy("subject").agg(F.count("*").alias("documents"), F.sum(F.col("part") * F.col("sentences")).alias("sentences"))
+    return got.withColumn("share", F.col("documents") / F.lit(max(total, 1)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit() and callable(f)}
 
