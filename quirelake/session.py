@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +43,36 @@ def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
+    """Cut the lineage: write the rows as a table in the shared folder the cluster names, and read it back.
 
-    ``spark.checkpoint.dir`` is read from the session; a folder of our own is set only where none is,
-    as in tests on one machine. Survives the loss of executors, unlike a local checkpoint.
+    The folder is ``spark.checkpoint.dir`` of the session; a folder of our own is set only where none is, as in tests on
+    one machine. The table survives the loss of executors, unlike a local checkpoint, and is columnar and
+    compressed, unlike a checkpoint. It is removed when the application ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quirelake-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = _shared_folder(spark)
+    path = f"{folder}/quirelake-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if _own not in globals():
+        globals()[_own] = tempfile.mkdtemp(prefix="quirelake-")
+    return globals()[_own]
+
+
+_own = "_own_folder"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone already
+        pass
