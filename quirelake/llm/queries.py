@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable, spread, table
-from . import encoding, language, leaks, names, pieces, scans, sentences, subjects, textform
+from . import encoding, language, leaks, mixing, names, pieces, scans, sentences, subjects, textform
 
 _CHAPTERS = ("id", "content")
 
@@ -135,6 +135,18 @@ def p8_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "eval_items", "item_id", "text"))
 
 
+def _p9(spark: SparkSession, sf: str) -> tuple[DataFrame, list[dict]]:
+    return mixing.mixture(table(spark, sf, "documents", "doc_id", "text", "source"), table(spark, sf, "mix_targets", "source", "target_share", "max_repeats"))
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return _p9(spark, sf)[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(*_p9(spark, sf))
+
+
 def _p10(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "text", "lang")
     model = subjects.learn(docs, table(spark, sf, "subject_labels", "doc_id", "subject"), table(spark, sf, "subjects", "subject"), table(spark, sf, "eval_items", "text"))
