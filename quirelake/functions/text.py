@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -97,18 +97,20 @@ def quote_inner(text: Column | str) -> Column:
     return F.when(F.length(first) > 2, F.substring(first, F.lit(2), F.length(first) - 2))
 
 
-def tag_evidence(text: Column | str) -> Column:
-    """The first quotation, what precedes and what follows it, cut free of blanks, commas, stops and hyphens."""
-    s = strip(F.coalesce(_c(text), F.lit("")))
-    first = F.regexp_extract(s, "(" + P.PAIRED_QUOTE + ")", 1)
-    at = F.instr(s, first)
+def with_evidence(df: DataFrame, text: str, out: str = "evidence") -> DataFrame:
+    """Adds the text a tag is judged by: the first quotation, what precedes and what follows it, cut free of blanks, commas, stops and hyphens.
+
+    Steps are columns of their own, so that no expression is compiled more than once.
+    """
 
     def cut(x: Column) -> Column:
         return F.nullif(F.regexp_replace(x, "^[ ,.\\-]+|[ ,.\\-]+$", ""), F.lit(""))
 
-    inner = F.nullif(strip(F.substring(first, F.lit(2), F.length(first) - 2)), F.lit(""))
-    parts = F.concat_ws(" ", inner, cut(F.substring(s, F.lit(1), at - 1)), cut(F.substring(s, at + F.length(first), F.length(s))))
-    return F.when(F.length(first) > 0, parts).otherwise(s)
+    first = F.regexp_extract("_s", "(" + P.PAIRED_QUOTE + ")", 1)
+    df = df.withColumn("_s", strip(F.coalesce(_c(text), F.lit("")))).withColumn("_f", first).withColumn("_at", F.instr("_s", F.col("_f")))
+    inner = F.nullif(strip(F.substring("_f", F.lit(2), F.length("_f") - 2)), F.lit(""))
+    parts = F.concat_ws(" ", inner, cut(F.substring("_s", F.lit(1), F.col("_at") - 1)), cut(F.substring("_s", F.col("_at") + F.length("_f"), F.length("_s"))))
+    return df.withColumn(out, F.when(F.length("_f") > 0, parts).otherwise(F.col("_s"))).drop("_s", "_f", "_at")
 
 
 # What a quotation must consist of to count as assent.
@@ -117,15 +119,15 @@ ASSENT = (
 )
 
 
-def expression_tag(text: Column | str, is_dialogue: Column | str) -> Column:
-    """The tag of the first word list that matches the evidence; null for narration. Assent must be all there is."""
-    ev = tag_evidence(text)
-    plain = squeeze(F.regexp_replace(F.lower(ev), "[^a-z0-9\\s']", " "))
-    out = F.lit(None).cast("string")
-    for pattern, tag in P.TAGS:
-        hit = ev.rlike(pattern)
-        out = F.coalesce(out, F.when(hit & plain.isin(*ASSENT) if tag.startswith("[conf") else hit, tag))
-    return F.when(_c(is_dialogue).cast("boolean"), out)
+def with_tag(df: DataFrame, text: str, is_dialogue: Column, out: str = "tag") -> DataFrame:
+    """Adds the tag of the first word list that matches the evidence; null for narration. Assent must be all there is."""
+    df = with_evidence(df, text, "_ev")
+    plain = squeeze(F.regexp_replace(F.lower("_ev"), "[^a-z0-9\\s']", " "))
+    tag = F.lit(None).cast("string")
+    for pattern, name in P.TAGS:
+        hit = F.col("_ev").rlike(pattern)
+        tag = F.coalesce(tag, F.when(hit & plain.isin(*ASSENT) if name.startswith("[conf") else hit, name))
+    return df.withColumn(out, F.when(is_dialogue, tag)).drop("_ev")
 
 
 def inject_tag(text: Column | str, tag: Column | str) -> Column:

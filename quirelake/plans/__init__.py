@@ -1 +1 @@
-"""See the package README."""
+"""Registered queries and the SQL they are checked against."""
