@@ -720,3 +720,42 @@ def b16_selection(spark, sf):
 @query("SELECT e.event_type, count(*) AS n, count(DISTINCT e.user_id) AS users, round(sum(e.value), 4) AS total FROM events e GROUP BY e.event_type")
 def x1_event_totals(spark, sf):
     return table(spark, sf, "events", "event_type", "user_id", "value").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# ---------------------------------------------------------------- streams, run to the end of what is there
+
+
+@query("""
+SELECT user_id, event_id % 50 AS chapter_id, CAST(floor(value) AS BIGINT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1
+""")
+def b14_stream_progress(spark, sf):
+    """The latest event of each user, kept by a stream of upserts."""
+    from ..session import shared_folder
+    from ..streaming import jobs
+
+    root = shared_folder(spark, "progress")
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parq*")
+    jobs.progress(stream, f"{root}/table", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/table").drop("v", "ts")
+
+
+@query("""
+WITH k AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id) SELECT e.event_id, k.first AS result FROM events e JOIN k ON k.user_id = e.user_id
+""")
+def b2_stream_shared_requests(spark, sf):
+    """Requests for one key share the result of the first."""
+    from ..session import shared_folder
+    from ..streaming import jobs
+
+    root = shared_folder(spark, "requests")
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parq*")
+    render = lambda first: first.select("user_id", F.col("event_id").alias("result"), F.lit(None).cast("string").alias("error"))
+    jobs.requests(stream, "user_id", render, f"{root}/table", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/table").select("event_id", "result")
+
+
+@query()
+def b14_debounced_positions(spark, sf):
+    from ..streaming import jobs
+
+    return jobs.debounced(table(spark, sf, "events", "event_id", "ts", "user_id", "value"), "1 hour")
