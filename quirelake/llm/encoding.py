@@ -263,7 +263,7 @@ def repair_word(word: str, model: Plausibility, memo: dict) -> tuple[str, tuple[
         memo.clear()
     out = None
     broken = _BROKEN.search(word)
-    if broken or not _SAFE.fullmatch(word) and _suspicious(word, model):
+    if broken or (word.isascii() or not _SAFE.fullmatch(word)) and _suspicious(word, model):
         best, gain, swap = search(word, _start(word, model), model)
         if gain > 0:
             out = (best, swap)
