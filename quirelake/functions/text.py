@@ -67,19 +67,16 @@ def section_type(title: Column | str) -> Column:
     return F.coalesce(out, F.when(s.rlike(P.PART), "part"), F.lit("chapter"))
 
 
-def language(text: Column | str, default: str = "en") -> Column:
-    """'hu' on enough Hungarian evidence in the first 100,000 characters, else the default."""
-    hu, en = language_scores(text)
-    return F.when((hu >= 5) & (hu > en * 1.2), "hu").otherwise(default)
+def with_language(df: DataFrame, text: str, out: str = "lang", default: str = "en") -> DataFrame:
+    """Adds hu and en (counts of evidence in the first 100,000 characters) and the language: 'hu' on enough of it, else the default.
 
-
-def language_scores(text: Column | str) -> tuple[Column, Column]:
-    sample = F.lower(F.substring(F.coalesce(_c(text), F.lit("")), 1, 100_000))
-    found = F.regexp_extract_all(sample, F.lit(r"([\p{L}\p{M}]+)"), 1)
-    def count(these):
-        return F.size(F.filter(found, lambda w: w.isin(*these)))
-    twice = F.length(sample) - F.length(F.translate(sample, "őű", ""))
-    return count(P.HUNGARIAN) + 2 * twice, count(P.ENGLISH)
+    The words are taken out once, as a column of their own.
+    """
+    df = df.withColumn("_s", F.lower(F.substring(F.coalesce(_c(text), F.lit("")), 1, 100_000)))
+    df = df.withColumn("_w", F.regexp_extract_all("_s", F.lit(r"([\p{L}\p{M}]+)"), 1))
+    twice = F.length("_s") - F.length(F.translate("_s", "őű", ""))
+    df = df.withColumn("hu", F.size(F.filter("_w", lambda w: w.isin(P.HUNGARIAN))) + 2 * twice).withColumn("en", F.size(F.filter("_w", lambda w: w.isin(P.ENGLISH))))
+    return df.withColumn(out, F.when((F.col("hu") >= 5) & (F.col("hu") > F.col("en") * 1.2), "hu").otherwise(default)).drop("_s", "_w")
 
 
 def title_key(text: Column | str) -> Column:
@@ -319,11 +316,11 @@ def repair_glyphs(text: Column | str, lang: Column | str) -> Column:
     return F.when(F.lower(F.coalesce(_c(lang), F.lit(""))).isin("hu", "hungarian"), F.translate(_c(text), "õûÕÛ", "őűŐŰ")).otherwise(_c(text))
 
 
-def word_spans(text: Column | str, seconds: Column | str) -> Column:
-    """(i, word, t0, t1): each word's equal part of the duration."""
-    w = words(text)
-    n = F.size(w)
-    return F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("word"), (i * _c(seconds) / n).alias("t0"), ((i + 1) * _c(seconds) / n).alias("t1")))
+def word_spans(df: DataFrame, text: str, seconds: str, *keep: str) -> DataFrame:
+    """(kept columns, i, word, t0, t1): each word's equal part of the duration; the words are counted once a text."""
+    df = df.withColumn("_w", words(text)).withColumn("_n", F.size("_w"))
+    rows = df.select(*keep, F.col(seconds).alias("_d"), "_n", F.posexplode("_w").alias("i", "word"))
+    return rows.select(*keep, "i", "word", (F.col("i") * F.col("_d") / F.col("_n")).alias("t0"), ((F.col("i") + 1) * F.col("_d") / F.col("_n")).alias("t1"))
 
 
 def reading_minutes(count: Column | str) -> Column:

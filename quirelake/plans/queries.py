@@ -320,8 +320,7 @@ n AS (SELECT id, len(list_filter(ws, lambda x: x IN {_sql_in(P.HUNGARIAN)})) + 2
 SELECT id, CAST(hu AS INTEGER) AS hu, CAST(en AS INTEGER) AS en, CASE WHEN hu >= 5 AND hu > en * 1.2 THEN 'hu' ELSE 'en' END AS lang FROM n
 """)
 def t4_language_scores(spark, sf):
-    hu, en = T.language_scores("content")
-    return table(spark, sf, "chapters", "id", "content").select("id", hu.alias("hu"), en.alias("en"), T.language("content").alias("lang"))
+    return T.with_language(spread(table(spark, sf, "chapters", "id", "content"), "id"), "content").select("id", "hu", "en", "lang")
 
 
 @query(f"SELECT id, CAST(len({_sql_words('content')}) AS INTEGER) AS words, CAST(length(content) AS INTEGER) AS chars FROM chapters")
@@ -475,8 +474,7 @@ SELECT id, CAST(i AS INTEGER) AS i, w[i + 1] AS word, round(i * d / len(w), 6) A
 """)
 def t39_word_spans(spark, sf):
     s = _segments(spark, sf, "id", "text", "duration_sec").where("duration_sec is not null and text is not null")
-    rows = s.select("id", F.explode(T.word_spans("text", "duration_sec")).alias("x"))
-    return rows.select("id", "x.i", "x.word", F.round("x.t0", 6).alias("t0"), F.round("x.t1", 6).alias("t1"))
+    return T.word_spans(s, "text", "duration_sec", "id").withColumns({"t0": F.round("t0", 6), "t1": F.round("t1", 6)})
 
 
 # ---------------------------------------------------------------- segmentation

@@ -44,7 +44,7 @@ def plain_books(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFram
 
     out = files(spark, path, glob).mapInPandas(run, f"path string, title string, author string, chapters {_CHAPTER}")
     whole = F.array_join(F.transform("chapters", lambda c: c["content"]), "\n")
-    return out.withColumn("language", T.language(whole)).select("path", "title", "author", "language", "chapters")
+    return T.with_language(out.withColumn("_t", whole), "_t", "language").select("path", "title", "author", "language", "chapters")
 
 
 def chapter_rows(books: DataFrame) -> DataFrame:

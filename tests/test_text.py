@@ -23,7 +23,9 @@ def test_sections(spark):
 
 
 def test_language(spark):
-    assert each(spark, T.language, ["Az ember nem volt itt, és még csak egy sem ő.", "The man was not here.", None, ""]) == ["hu", "en", "en", "en"]
+    rows = ["Az ember nem volt itt, és még csak egy sem ő.", "The man was not here.", None, ""]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string")
+    assert [r.lang for r in T.with_language(df, "s").orderBy("i").collect()] == ["hu", "en", "en", "en"]
 
 
 def test_words_and_keys(spark):
