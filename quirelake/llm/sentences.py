@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 # Abbreviations that are followed by a name or a word and so never end a sentence.
 GOES_ON = """
 mr mrs ms dr prof st lt capt cpt col gen sgt maj rev messrs mt e.g i.e cf viz approx ca vs
-hr fr frl ing dipl z.b d.h u.a o.ä vgl bzw ggf evtl geb jh
+hr hrn fr frl frn ing dipl z.b d.h u.a o.ä vgl bzw ggf evtl geb jh
 sr sra srta dra ud uds vd vds lic gral aprox ej avda exmo exma
 mm mme mmes mlle mgr env c.-à-d
 ifj id özv kb pl vö ún ált szt bp szül
