@@ -36,6 +36,8 @@ WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "cp1251", "iso8859-2", "mac_roman", "
 GAIN_MULTI, GAIN_SINGLE = 4.0, 8.0
 #: Nats that another word of a text has to gain from a swap of code pages already established in that text.
 GAIN_SAME_TEXT = 1.5
+#: Words longer than this are searched in parts, so that the work stays in proportion to the text.
+LONG = 2_000
 #: States that are expanded for one word.
 MAX_STATES = 120
 #: Nats for the choice of one sign within a script that is a single class.
@@ -262,6 +264,12 @@ def repair_word(word: str, model: Plausibility, memo: dict) -> tuple[str, tuple[
     if len(memo) > 200_000:
         memo.clear()
     out = None
+    if len(word) > LONG:  # lines of scripts without blanks: part by part, cut after a sign below 0x80 where there is one
+        got = [(p, repair_word(p, model, memo)) for p in _parts(word)]
+        if any(g for _, g in got):
+            out = ("".join(g[0] if g else p for p, g in got), None)
+        memo[word] = out
+        return out
     broken = _BROKEN.search(word)
     if broken or (word.isascii() or not _SAFE.fullmatch(word)) and _suspicious(word, model):
         best, gain, swap = search(word, _start(word, model), model)
@@ -273,6 +281,17 @@ def repair_word(word: str, model: Plausibility, memo: dict) -> tuple[str, tuple[
     return out
 
 
+def _parts(word: str) -> list[str]:
+    out, at = [], 0
+    while at < len(word):
+        end = min(len(word), at + LONG)
+        if end < len(word):
+            end = next((i + 1 for i in range(end - 1, at + LONG // 2, -1) if word[i] < "\x80"), end)
+        out.append(word[at:end])
+        at = end
+    return out
+
+
 def _suspicious(word: str, model: Plausibility) -> bool:
     """Whether the steps of the word are dear enough for a search to be able to gain what a reading has to gain."""
     a, worst, over = " ", 0.0, 0.0

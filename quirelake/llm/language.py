@@ -167,7 +167,7 @@ def _sgd(feats: list, present: list[str], epochs: int, seed: int) -> Discriminat
 
 def passages(text: str | None, model: Discriminator) -> list[tuple[int, int, str, float, int]]:
     """(start, end, language, confidence, sentences) of the passages of one text in its consistent form."""
-    if not text:
+    if not text or not model.present:
         return []
     flat = _SOFT_BREAK.sub(" ", text)
     at = starts(flat)

@@ -193,15 +193,18 @@ def starts(text: str | None) -> list[int]:
     stack: list[str] = []
     noted: list[int] = []  # ends inside the open quotation of level one
     at = _skip(text, 0)  # the start of the running sentence
-    quote_at = 0
+    quote_at = seen_to = 0  # words before the open quotation are looked for once, up to seen_to
+    told = False
     n = len(text)
     if at >= n:
         return out
     out.append(at)
+    seen_to = at
 
     def begin(i: int) -> None:
-        nonlocal at
+        nonlocal at, seen_to, told
         at = _skip(text, i)
+        seen_to, told = at, False
         if at < n:
             out.append(at)
 
@@ -233,7 +236,7 @@ def starts(text: str | None) -> list[int]:
                     noted.append(b)
             continue
         top = stack[-1] if stack else ""
-        closes = bool(top) and (c == _OPEN[top] or top in "„“”" and c in "“”" or top in "»›" and c in "«‹")
+        closes = bool(top) and (c == _OPEN[top] or c == "”" and top in "„“”" or top in "»›" and c in "«‹")
         if c == "’" and not closes:
             continue
         if c == "’" and b < n and text[b].isalnum() and text[b - 2 : b - 1].isalnum():
@@ -263,7 +266,10 @@ def starts(text: str | None) -> list[int]:
             if len(stack) == 1 and stack[0] not in _BRACKET and ended and not _reported_after(text, b):
                 noted.append(b)
             continue
-        reported = any(ch.isalnum() for ch in text[at:quote_at]) or last in ",，、" or _reported_after(text, b)
+        if quote_at > seen_to:
+            told = told or any(map(str.isalnum, text[seen_to:quote_at]))
+            seen_to = quote_at
+        reported = told or last in ",，、" or _reported_after(text, b)
         if not reported:
             for e in noted:
                 if _skip(text, e) < a and text[_skip(text, e) : a].strip(" \xa0  "):
