@@ -168,7 +168,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit() and callable(f)}
 
 
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE).replace("'", "''")
+
+
+def _sql_words(text: str) -> str:
+    """Blank-separated strings reduced to letters and digits, without case and Unicode form."""
+    form = f"lower(nfc_normalize(replace(replace(translate({text}, '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'), 'ﬂ', 'fl')))"
+    return f"list_filter(list_transform(regexp_split_to_array({form}, '[\\s\\p{{Z}}]+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda w: w <> '')"
+
+
+def _sql_runs(table_: str, key: str) -> str:
+    words = f"SELECT {key}, {_sql_words('text')} AS w FROM {table_} WHERE text IS NOT NULL"
+    return f"SELECT DISTINCT {key}, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS k FROM ({words}) WHERE len(w) >= 12)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": "SELECT id AS chapter_id FROM chapters WHERE length(content) > 6000",
+        "p8_found": f"SELECT DISTINCT d.doc_id, i.item_id FROM ({_sql_runs('documents', 'doc_id')}) d JOIN ({_sql_runs('eval_items', 'item_id')}) i ON d.g = i.g",
     }
