@@ -1,3 +1,6 @@
+import re
+
+import __spark_entry__ as entry
 from quirelake.operators import speakers as S
 from quirelake.operators import store as R
 
@@ -44,3 +47,24 @@ def test_store(spark):
     assert sorted(map(tuple, R.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert sorted(map(tuple, R.insert_or_ignore(old, new, ["k"], [new["v"]]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
     assert [r.k for r in R.stale_keys(old.withColumn("i", old["k"]), new.withColumn("i", new["k"]), ["k"], "i", ["v"]).orderBy("k").collect()] == [1, 2, 3]
+
+
+def _clean(name):
+    s = re.sub(r"\s+", " ", name or "").strip(" \t\r\n.,;:!?\"'„”").split("|")[0].strip()
+    parts = [x.strip() for x in s.split(",")]
+    if len(parts) == 2 and len(parts[0].split()) > 1 and 1 <= len(parts[1].split()) <= 3:
+        s = parts[1]
+    return "" if s.lower() in ("narrator", "unknown") else s[:120]
+
+
+def test_assignments_of_all_names_against_brute_force(spark, tmp_path):
+    names = ["", None, "Narrator", "Anna", "Zoë Hestow", "Dr. Hestow", "Hestow, Zoë", "Jean-Luc", "Ваня Рябинов", "翟家・景行", "अमित", "Anna|female", " Bob  Bram. ", "Ide figyelj, Jázmin", 'A "B" \\ C', "Unknown"]
+    rows = [(k, 1 + k % 2, k // 4, n) for k, n in enumerate(names * 3)] + [(900, 1, None, "Anna"), (901, 3, 0, "Narrator"), (902, 3, 0, "Éva")]
+    spark.createDataFrame(rows, "id long, chapter_id long, unit_index int, speaker_name string").write.parquet(f"{tmp_path}/speaker_annotations.parquet")
+    want = {}
+    for _, chapter, unit, name in sorted(rows, key=lambda r: r[0]):
+        if unit is not None and _clean(name):
+            want.setdefault((chapter, unit), _clean(name))
+    got = entry.queries()["l8_assignments"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.chapter_id, r.unit_id): r.speaker for r in got} == want
+    assert want[3, 0] == "Éva" and "Zoë Hestow" in want.values()
