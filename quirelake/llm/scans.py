@@ -161,7 +161,7 @@ def corrections(lex: DataFrame) -> DataFrame:
 
 
 def _neighbours(df: DataFrame, key: str, text: str, fixes: DataFrame) -> DataFrame:
-    """(key, at, word, before, after) of every occurrence of a word that has corrections."""
+    """(key, word, before, after) of every occurrence of a word that has corrections; equal ones once."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,18 +170,21 @@ def _neighbours(df: DataFrame, key: str, text: str, fixes: DataFrame) -> DataFra
             for k, t in zip(b.iloc[:, 0], b.iloc[:, 1]):
                 if t:
                     ws = ["", *words_of(t), ""]
-                    first: dict[str, int] = {}
-                    for i in range(1, len(ws) - 1):
-                        first.setdefault(ws[i], i)
-                    rows += [(k, w, ws[i - 1], ws[i + 1]) for w, i in first.items() if len(w) >= 3]
+                    rows += [(k, w, x, y) for x, w, y in set(zip(ws, ws[1:], ws[2:])) if len(w) >= 3]
+                if len(rows) > 100_000:
+                    yield pd.DataFrame(rows, columns=[key, "word", "before", "after"])
+                    rows = []
             yield pd.DataFrame(rows, columns=[key, "word", "before", "after"])
 
     seen = df.select(key, text).mapInPandas(run, f"`{key}` {kind}, word string, before string, after string")
-    return seen.join(fixes.select("word").distinct(), "word", "left_semi")
+    return seen.join(fixes.select("word").distinct(), "word", "left_semi").distinct()
 
 
 def misread(df: DataFrame, key: str, text: str, lex: DataFrame) -> DataFrame:
-    """(key, word, better): the misread words of each text, and the repair that context and frequency pick."""
+    """(key, word, better): the misread words of each text, and the repair that context and frequency pick.
+
+    The context of a repair is the support of all distinct places of the word in the text, summed.
+    """
     fixes = durable(corrections(lex))
     seen = durable(_neighbours(df, key, text, fixes))
     asked = seen.join(fixes, "word")
@@ -190,9 +193,10 @@ def misread(df: DataFrame, key: str, text: str, lex: DataFrame) -> DataFrame:
     have = _bigrams(df, text, want)
     left, right = have.toDF("before", "better", "nl"), have.toDF("better", "after", "nr")
     scored = asked.join(left, ["before", "better"], "left").join(right, ["better", "after"], "left")
-    context = F.coalesce("nl", F.lit(0)) + F.coalesce("nr", F.lit(0))
+    context = F.sum(F.coalesce("nl", F.lit(0)) + F.coalesce("nr", F.lit(0)))
+    scored = scored.groupBy(key, "word", "n", "better", "m", "cost").agg(context.alias("context"))
     # without support from its neighbours a word must be a far rarer one than its correction
-    scored = scored.withColumn("context", context).where((F.col("context") > 0) | (F.col("m") >= F.col("n") * 10 * RATIO))
+    scored = scored.where((F.col("context") > 0) | (F.col("m") >= F.col("n") * 10 * RATIO))
     best = scored.groupBy(key, "word").agg(F.max(F.struct("context", (-F.col("cost")).alias("c"), "m", "better")).alias("b"))
     return best.select(key, "word", F.col("b.better").alias("better"))
 

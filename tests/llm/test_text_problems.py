@@ -174,3 +174,11 @@ def test_damaged_and_mended(spark):
     got = {r.id: r.mended for r in scans.mended(df, "id", "t").collect()}
     assert got[100] == clean and got[101] == "The stranger burned the wrong envelope there."
     assert scans.damaged(frame(spark, []), "id", "t").count() == 0
+
+
+def test_context_of_all_occurrences(spark):
+    clean = "The stranger burned the wrong envelope there before the night. Anna burned the letter there."
+    late = "Qualm bumed quoin. The stranger bumed the wrong envelope there."
+    df = frame(spark, [(i, clean) for i in range(40)] + [(100, late), (101, late.replace("Qualm", "Zonk"))])
+    assert sorted(r.id for r in scans.damaged(df, "id", "t").collect()) == [100, 101]
+    assert {r.id: r.mended for r in scans.mended(df, "id", "t").collect()}[100] == late.replace("bumed", "burned")
