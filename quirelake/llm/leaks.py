@@ -2,8 +2,9 @@
 
 Words are blank-separated strings reduced to their letters and digits, compared without case and Unicode form;
 strings with none are skipped. Every run of ``seed`` words of the test items is hashed with a rolling
-Karp-Rabin hash into a sorted index; each document is hashed the same way in one pass and looked up. A
-document and an item that share a seed are tiled: the longest common run not yet marked is marked, again
+Karp-Rabin hash into a sorted index; each document is hashed the same way in one pass and looked up. Where a seed is no longer
+than a tile, the words of the item that lie in shared seeds bound what tiles can cover, so only pairs that may
+pass are tiled and none is lost. A pair is tiled by marking the longest common run not yet marked, again
 and again, down to ``min_tile`` words. Tiles may come in any order, so reordered passages still cover the item.
 
 The test items are the query set: they are read in blocks of at most ``block_words`` words, each block
@@ -119,16 +120,32 @@ def tile(doc: list[str], item: list[str], min_tile: int) -> list[tuple[int, int,
     return tiles
 
 
-def _block_index(rows: list[tuple[object, list[str]]], seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _block_index(rows: list[tuple[object, list[str]]], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all runs of ``seed`` words in order, and the item and place of each."""
     memo: dict[str, int] = {}
-    hashes, owner = [], []
+    hashes, owner, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for n, (_, ws) in enumerate(rows):
-        h = np.unique(rolling(_numbers(ws, memo), seed))
+        h = rolling(_numbers(ws, memo), seed)
         hashes.append(h)
         owner.append(np.full(len(h), n, np.int32))
-    h, o = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*owner, np.zeros(0, np.int32)])
+        place.append(np.arange(len(h), dtype=np.int32))
+    h, o, p = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
     order = np.argsort(h, kind="stable")
-    return h[order], o[order]
+    return h[order], o[order], p[order]
+
+
+def _bounds(owner: np.ndarray, place: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items, covered, longest) of the seeds that a document hits: the words that they hold of each item, and the longest run of them."""
+    order = np.lexsort((place, owner))
+    o, p = owner[order], place[order]
+    first = np.concatenate([[True], o[1:] != o[:-1]])  # of an item
+    gap = np.concatenate([[seed], np.diff(p)])
+    new = np.where(first, seed, np.minimum(gap, seed))
+    at = np.flatnonzero(first)
+    runs = np.flatnonzero(first | (gap != 1))
+    length = np.diff(np.append(runs, len(o))) + seed - 1
+    longest = np.maximum.reduceat(length, np.searchsorted(runs, at))
+    return o[at], np.add.reduceat(new, at), longest
 
 
 def _item_blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[object, list[str]]]]:
@@ -147,11 +164,11 @@ def _item_blocks(items: DataFrame, key: str, text: str, block_words: int) -> Ite
 
 def leaked(
     docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", item_text: str = "text",
-    seed: int = 8, min_tile: int = 5, min_run: int = 12, min_coverage: float = 0.5, block_words: int = 2_000_000,
+    seed: int = 5, min_tile: int = 5, min_run: int = 12, min_coverage: float = 0.5, block_words: int = 2_000_000,
 ) -> DataFrame:
     """(doc_key, item_key, longest, covered, coverage, tiles): pairs that pass the run or the coverage threshold.
 
-    A pair is looked at if it shares ``seed`` words in a row; it is reported if its longest tile has ``min_run`` words or its tiles
+    A pair is looked at if it shares ``seed`` words in a row (with ``seed`` over ``min_tile``, pairs of shorter tiles only are not); it is reported if its longest tile has ``min_run`` words or its tiles
     cover ``min_coverage`` of the item. With ``min_coverage`` over 1 only the run counts.
     """
     spark = docs.sparkSession
@@ -163,7 +180,8 @@ def leaked(
         shared = spark.sparkContext.broadcast((block, *_block_index(block, seed)))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            rows, hashes, owner = shared.value
+            rows, hashes, owner, place = shared.value
+            sizes = np.array([len(ws) for _, ws in rows], np.int64)
             memo: dict[str, int] = {}
             for b in batches:
                 found = []
@@ -177,7 +195,12 @@ def leaked(
                     hit = hi > lo
                     if not hit.any():
                         continue
-                    for n in sorted({int(x) for a, z in zip(lo[hit], hi[hit]) for x in owner[a:z]}):
+                    lo, many = lo[hit], (hi - lo)[hit]
+                    at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    near, most, run_most = _bounds(owner[at], place[at], seed)
+                    if seed <= min_tile:  # else shorter tiles may add to what the seeds show
+                        near = near[(run_most >= min_run) | (most >= min_coverage * sizes[near])]
+                    for n in near.tolist():
                         item = rows[n][1]
                         got = tile(ws, item, min(min_tile, seed))
                         longest, covered = max((x[2] for x in got), default=0), sum(x[2] for x in got)

@@ -109,6 +109,27 @@ def test_leaks(spark):
     assert leaks.leaked(d, i.where("false")).count() == 0
 
 
+def test_short_reordered_passages(spark):
+    ws = [f"w{k}" for k in range(30)]
+    docs = [(1, " foo ".join(" ".join(ws[a : a + 6]) for a in (24, 12, 0, 18, 6))), (2, " foo ".join(" ".join(ws[a : a + 4]) for a in (24, 12, 0, 18, 6)))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(ws))], "item_id long, text string")
+    assert [(r.doc_id, r.coverage, r.tiles) for r in leaks.leaked(d, i).collect()] == [(1, 1.0, 5)]
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40)))) for k in range(30)]
+    docs = [(k, " ".join(w for _ in range(6) for x in [rng.choice(items)[1].split()] for a in [rng.randint(0, 30)] for w in [*x[a : a + rng.randint(4, 9)], "z"])) for k in range(60)]
+    want = set()
+    for dk, t in docs:
+        for ik, u in items:
+            tiles = leaks.tile(t.split(), u.split(), 5)
+            if tiles and (max(x[2] for x in tiles) >= 12 or sum(x[2] for x in tiles) >= 0.5 * len(u.split())):
+                want.add((dk, ik, sum(x[2] for x in tiles)))
+    got = leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.covered) for r in got.collect()} == want and len(want) > 10
+
+
 # ------------------------------------------------------------ mixing
 
 
