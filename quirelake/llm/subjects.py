@@ -1,7 +1,7 @@
 """Subject areas of documents (problem 10).
 
 One interpolated n-gram model (bigram, unigram, uniform) for each subject and language, and a background model for each
-language over everything the sample holds. A sentence's score for a subject is the mean over its tokens of how
+language over all documents and test items. A sentence's score for a subject is the mean over its tokens of how
 many nats the subject's model saves against the background. A sentence is on the subject that saves most, if
 that is more than the calibrated threshold; a document has each subject that enough of its sentences are on.
 
@@ -10,7 +10,8 @@ document counts for that of the document's labels that saves most under the last
 Passages in the manner of held-out test items belong to no subject: their text trains a model of its own that competes.
 
 The fit reads at most ``max_docs`` labelled documents and ``max_chars`` characters of each (the documented bound of the sample, chosen
-by hash over all labels); everything else covers all rows and whole texts. Null and blank documents have no subject; repeated labels count once.
+by hash over all labels); everything else covers all rows and whole texts. The background is counted over all documents in a
+distributed aggregation, and only its totals and the words and pairs that the sample or the items hold come to the driver. Null and blank documents have no subject; repeated labels count once.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import durable, spread
 from .sentences import starts
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
@@ -58,18 +59,13 @@ class Models:
         self.uni[lang][subject].update(ws)
         self.bi[lang][subject].update(zip(ws, ws[1:]))
 
-    def finish(self, least: int = 2) -> "Models":
+    def finish(self, corpus: dict[str, "Background"], least: int = 2) -> "Models":
         """Turn counts into nats saved against the background; words seen less often than ``least`` save nothing."""
         self.saved = {}
         for lang, by in self.uni.items():
-            back: Counter = Counter()
-            for c in by.values():
-                back.update(c)
-            total, size = sum(back.values()), len(back)
+            ground = corpus.get(lang) or Background()
+            back, bback, total, size = ground.uni, ground.bi, ground.total, ground.size
             sums = {s: sum(c.values()) for s, c in by.items()}
-            bback: Counter = Counter()
-            for c in self.bi[lang].values():
-                bback.update(c)
             uni: dict[str, list[float]] = {}
             strength = 3.0  # words of the background a subject's count is interpolated with
             names = [*self.subjects, NONE]
@@ -132,6 +128,59 @@ class Models:
         return m
 
 
+class Background:
+    """Counts of one language over the whole corpus: of the model's words and pairs, of all words, of distinct words."""
+
+    def __init__(self):
+        self.uni: Counter = Counter()
+        self.bi: Counter = Counter()
+        self.total = self.size = 0
+
+
+def background(docs: DataFrame, text: str, model: Models, known: Models) -> dict[str, Background]:
+    """The background of each language over all documents, for the words and pairs that ``known`` holds counts of."""
+    spark = docs.sparkSession
+    words = {x: set().union(*by.values()) for x, by in known.uni.items()}
+    pairs = {x: set().union(*by.values()) for x, by in known.bi.items()}
+    shared = spark.sparkContext.broadcast((model.pack(), words, pairs))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packed, words, pairs = shared.value
+        own, n = Models.unpack(packed), Counter()
+
+        def out() -> pd.DataFrame:
+            rows = [(x, a, b, k, b is not None or a in words.get(x, ())) for (x, a, b), k in n.items()]
+            return pd.DataFrame(rows, columns=["l", "a", "b", "n", "known"])
+
+        for batch in batches:
+            for t in batch.iloc[:, 0]:
+                ss = [ws for s in split(t) if (ws := tokens(s))]
+                if not ss:
+                    continue
+                lang = own.language([w for ws in ss for w in ws])
+                wanted = pairs.get(lang, ())
+                for ws in ss:
+                    n.update((lang, w, None) for w in ws)
+                    n.update((lang, *p) for p in zip(ws, ws[1:]) if p in wanted)
+                if len(n) > 200_000:
+                    yield out()
+                    n.clear()
+        yield out()
+
+    counted = spread(docs.select(text).where(F.col(text).isNotNull())).mapInPandas(run, "l string, a string, b string, n long, known boolean")
+    counted = durable(counted.groupBy("l", "a", "b").agg(F.sum("n").alias("n"), F.first("known").alias("known")))
+    found: dict[str, Background] = defaultdict(Background)
+    for r in counted.where("b is null").groupBy("l").agg(F.sum("n").alias("total"), F.count("*").alias("size")).collect():
+        found[r.l].total, found[r.l].size = r.total, r["size"]
+    for r in counted.where("known").select("l", "a", "b", "n").toLocalIterator():
+        if r.b is None:
+            found[r.l].uni[r.a] = r.n
+        else:
+            found[r.l].bi[r.a, r.b] = r.n
+    shared.unpersist()
+    return found
+
+
 def learn(
     docs: DataFrame, labels: DataFrame, subjects: DataFrame, none_like: DataFrame | None = None,
     key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 6_000, max_chars: int = 8_000, rounds: int = 3,
@@ -143,7 +192,6 @@ def learn(
     marked = marked.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(rate * 1_000_000))
     sample = docs.select(key, F.substring(text, 1, max_chars).alias("t"), F.col(lang).alias("l")).join(F.broadcast(marked) if n <= 200_000 else marked, key)
     rows = sample.where("t is not null").orderBy(key).limit(2 * max_docs).collect()
-    items = none_like.limit(max_docs).collect() if none_like is not None else []
     model = Models(names)
     for r in rows:
         if r.l:
@@ -156,15 +204,24 @@ def learn(
         for x in c:
             c[x] = c[x] / max(big[x], 1)
     model.saved = {x: ({}, {}) for x in big if x}
-    data, other = [], defaultdict(list)
+    data, known = [], Models(names)
     for r in rows:
         ss = [ws for s in split(r.t) if (ws := tokens(s))]
         data.append((model.language([w for ws in ss for w in ws]), list(r.own), ss))
-    for r in items:
+        for ws in ss:
+            known.add(data[-1][0], "", ws)
+    for r in none_like.toLocalIterator() if none_like is not None else ():
         for s in split(r[0]):
             ws = tokens(s)
             if ws:
-                other[model.language(ws)].append(ws)
+                known.add(model.language(ws), NONE, ws)
+    corpus = background(docs, text, model, known)
+    for lg, by in known.uni.items():  # the items are part of the background
+        ground = corpus[lg]
+        ground.total += sum(by[NONE].values())
+        ground.size += sum(w not in ground.uni for w in by[NONE])
+        ground.uni.update(by[NONE])
+        ground.bi.update(known.bi[lg][NONE])
     for k in range(rounds + 1):
         new = Models(names)
         new.word_lang = model.word_lang
@@ -180,10 +237,10 @@ def learn(
                     new.add(lg, names[top], ws)
                 elif top == len(names) and sc[top] > 0.35:
                     new.add(lg, NONE, ws)
-        for lg, group in other.items():
-            for ws in group:
-                new.add(lg, NONE, ws)
-        model = new.finish()
+        for lg, by in known.uni.items():
+            new.uni[lg][NONE].update(by[NONE])
+            new.bi[lg][NONE].update(known.bi[lg][NONE])
+        model = new.finish(corpus)
     model.threshold = _calibrate(model, data)
     return model
 

@@ -185,6 +185,26 @@ def test_subjects_on_held_out_documents(spark):
     assert subjects.assign(d.where("false"), m).count() == 0
 
 
+def test_background_over_all_documents(spark):
+    rng = random.Random(6)
+    labelled = [(k, " ".join(sentence(rng, ["law", "sport"][k % 2]) + (" The harbour was quiet." if k % 2 else "") for _ in range(4)), "en") for k in range(40)]
+    plain = [(100 + k, "The harbour was quiet. The harbour was quiet and old.", "en") for k in range(200)]
+    lab = spark.createDataFrame([(k, ["law", "sport"][k % 2]) for k in range(40)], "doc_id long, subject string")
+    subj = spark.createDataFrame([("law",), ("sport",)], "subject string")
+    items = spark.createDataFrame([(f"zork{chr(97 + k)} zork{chr(97 + k)} zork{chr(97 + k)}.",) for k in range(20)], "text string")
+    few, all_ = (subjects.learn(spark.createDataFrame(d, "doc_id long, text string, lang string"), lab, subj, items, max_docs=n) for d, n in ((labelled, 40), (labelled + plain, 40)))
+    assert few.saved["en"][0]["harbour"][1] > 0.2 > 0 > all_.saved["en"][0]["harbour"][1]
+    assert all_.saved["en"][0]["court"][0] > few.saved["en"][0]["court"][0]
+    docs = spark.createDataFrame(labelled + plain, "doc_id long, text string, lang string")
+    known = subjects.Models(["law", "sport"])
+    known.add("en", "law", ["the", "harbour", "court"])
+    got = subjects.background(docs, "text", all_, known)["en"]
+    ws = [[w for s in subjects.split(t) for w in subjects.tokens(s)] for _, t, _ in labelled + plain]
+    assert got.total == sum(map(len, ws)) and got.size == len({w for x in ws for w in x})
+    assert got.uni == {w: n for w in ("the", "harbour", "court") if (n := sum(x.count(w) for x in ws))}
+    assert all(f"zork{chr(97 + k)}" in all_.saved["en"][0] for k in range(20))
+
+
 def test_counts_of_characters(spark):
     df = spark.createDataFrame([("ab",), (None,), ("",)], "t string")
     assert sum(r.n for r in encoding.bigram_counts(df, "t").collect()) > 0
