@@ -34,10 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     """Enough partitions for Python-heavy maps over a small number of input splits.
 
-    A large input already has more splits than cores and is left alone, so nothing is shuffled there.
+    The planner's size of the input is compared with the size of a split: a large input has more splits than cores can
+    use and is left alone, so nothing is shuffled there. The rows are the same either way.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() * 2 > want:
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism * per_core
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+    split = int(split.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(split[-1], 0)
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > want * split:
         return df
     return df.repartition(want, *[F.col(k) for k in keys]) if keys else df.repartition(want)
 
@@ -45,16 +49,23 @@ def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder the cluster names, and read it back.
 
-    The folder is ``spark.checkpoint.dir`` of the session; a folder of our own is set only where none is, as in tests on
-    one machine. The table survives the loss of executors, unlike a local checkpoint, and is columnar and
-    compressed, unlike a checkpoint. It is removed when the application ends.
+    The folder is ``spark.checkpoint.dir`` of the session. The table survives the loss of executors, unlike a local
+    checkpoint, and is columnar and compressed, unlike a checkpoint. ``release`` removes it, at the latest the end of the application does.
     """
     spark = df.sparkSession
-    folder = _shared_folder(spark)
-    path = f"{folder}/quirelake-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "rows")
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (out, path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that ``durable`` wrote, once nothing reads them any more; without tables all of them."""
+    for key in [id(t) for t in tables] or list(_tables):
+        if key in _tables:
+            df, path = _tables.pop(key)
+            _remove(df.sparkSession, path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -65,15 +76,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def _shared_folder(spark: SparkSession) -> str:
+    """The folder the session names; on one machine (tests) one of our own where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if _own not in globals():
-        globals()[_own] = tempfile.mkdtemp(prefix="quirelake-")
-    return globals()[_own]
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="quirelake-"))
+    return _own[0]
 
 
-_own = "_own_folder"
+_own: list[str] = []
+_tables: dict[int, tuple[DataFrame, str]] = {}
 
 
 def _remove(spark: SparkSession, path: str) -> None:
