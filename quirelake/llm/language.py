@@ -6,9 +6,9 @@ character n-grams (1 to 4) of the consistent form of the text; the scores of all
 gather of weight rows and one segmented sum. A Viterbi pass with a price for each change of language joins
 sentences into passages, each with a confidence (its mean posterior).
 
-The machines are fitted on at most ``per_language`` labelled passages of each language (a documented bound); labels are
-noisy, so passages that a first fit contradicts are left out of the second. Everything else reads all rows and
-whole texts. A text without letters, null or empty, has no passage; a sentence that is mostly garbled signs counts for its
+The machines are fitted on the whole texts of about ``per_language`` labelled rows of each language (a documented bound), cut
+into passages; labels are noisy, so passages that a first fit contradicts are left out of the second. Everything else reads all
+rows and whole texts. A text without letters, null or empty, has no passage; a sentence that is mostly garbled signs counts for its
 neighbours' language.
 """
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable, release
 from .sentences import starts
 from .textform import fold
 
@@ -43,6 +44,8 @@ NAMES = {
 _BITS = 16
 _PAIRS = [(a, b) for f in FAMILIES.values() for i, a in enumerate(f) for b in f[i + 1 :]]
 _SOFT_BREAK = re.compile(r"(?<=[^\n])\n(?=[^\n])")
+#: A sentence also ends where a script without capitals follows the stop of a word in one that has them.
+_NEW_SCRIPT = re.compile("(?<=[^\\W\\d_A-Z]{2}[.!?…])[ \n]+(?=[\u0900-\u097f\u3040-\u30ff\u3400-\u9fff])")
 SHARP, SWITCH = 4.0, 5.0
 
 
@@ -165,34 +168,71 @@ def _sgd(feats: list, present: list[str], epochs: int, seed: int) -> Discriminat
     return Discriminator(total / max(steps, 1), tb / max(steps, 1), present)
 
 
-def passages(text: str | None, model: Discriminator) -> list[tuple[int, int, str, float, int]]:
-    """(start, end, language, confidence, sentences) of the passages of one text in its consistent form."""
-    if not text or not model.present:
-        return []
-    flat = _SOFT_BREAK.sub(" ", text)
+#: Code points whose weights are gathered at once; a longer text is a block of its own.
+BLOCK = 200_000
+_GAP = "\n" * 4  # no n-gram reaches from one text into the next
+
+
+def passages(texts: list[str | None], model: Discriminator) -> list[list[tuple[int, int, str, float, int]]]:
+    """(start, end, language, confidence, sentences) of the passages of each of several texts in their consistent form."""
+    out: list[list[tuple[int, int, str, float, int]]] = [[] for _ in texts]
+    if not model.present:
+        return out
+    block: list[tuple[int, str, list[int]]] = []
+    size = 0
+    for n, t in enumerate([*texts, None]):
+        flat = _SOFT_BREAK.sub(" ", t) if t else ""
+        at = sentence_bounds(flat)
+        if block and (n == len(texts) or size + len(flat) > BLOCK):
+            for (i, _, _), got in zip(block, _passages([x[1] for x in block], [x[2] for x in block], model)):
+                out[i] = got
+            block, size = [], 0
+        if at:
+            block.append((n, flat, at))
+            size += len(flat)
+    return out
+
+
+def sentence_bounds(flat: str) -> list[int]:
     at = starts(flat)
-    if not at:
-        return []
-    bounds = np.array([*at, len(text)])
-    g = _grams(flat)
-    sums = np.zeros((len(at), model.weights.shape[1]))
-    for n in range(4):
-        sums += np.add.reduceat(model.weights[g[n]], bounds[:-1], axis=0)
-    length = np.diff(bounds)
-    lp = model.log_probs(sums, length)
+    extra = [m.end() for m in _NEW_SCRIPT.finditer(flat)] if at else []
+    return sorted({*at, *extra}) if extra else at
+
+
+def _passages(flats: list[str], ats: list[list[int]], model: Discriminator) -> list[list[tuple[int, int, str, float, int]]]:
+    flat = _GAP.join(flats) + _GAP
     cps = np.frombuffer(flat.encode("utf-32-le", "replace"), np.uint32)
+    ends = np.cumsum([len(x) + len(_GAP) for x in flats])
+    first = np.r_[0, ends[:-1]]
+    # the bounds of all sentences, and behind each text that of the gap
+    bounds = np.concatenate([np.r_[np.array(at) + lo, lo + len(x)] for at, lo, x in zip(ats, first, flats)])
+    real = np.ones(len(bounds), bool)
+    real[np.cumsum([len(at) + 1 for at in ats]) - 1] = False
+    length = np.diff(np.r_[bounds, len(flat)])[real]
+    g = _grams(flat)
+    sums = model.weights.take(g[0], 0, mode="clip")
+    for n in range(1, 4):
+        sums += model.weights.take(g[n], 0, mode="clip")
+    lp = model.log_probs(np.add.reduceat(sums, bounds, axis=0)[real].astype(float), length)
     weird = ((cps >= 0x80) & (cps < 0x250) | (cps >= 0x2190) & (cps < 0x2600) | (cps == 0xFFFD)).astype(np.int64)
-    bad = np.add.reduceat(weird, bounds[:-1]) > 0.3 * length
+    bad = np.add.reduceat(weird, bounds)[real] > 0.3 * length
     # longer sentences say more; garbled ones say nothing
-    weight = np.where(bad, 0.0, np.clip(length / 40, 0.3, 1.5))[:, None]
-    e = np.maximum(lp, -12) * weight
-    path, post = _viterbi(e), lp
+    e = np.maximum(lp, -12) * np.where(bad, 0.0, np.clip(length / 40, 0.3, 1.5))[:, None]
+    best, told, post = e.argmax(1), ~bad, np.exp(lp)
     out, lo = [], 0
-    for i in range(1, len(at) + 1):
-        if i == len(at) or path[i] != path[lo]:
-            conf = float(np.exp(post[lo:i, path[lo]]).mean())
-            out.append((int(bounds[lo]), int(bounds[i]), LANGUAGES[path[lo]], round(conf, 4), i - lo))
-            lo = i
+    for at, x in zip(ats, flats):
+        hi = lo + len(at)
+        own = best[lo:hi][told[lo:hi]]
+        # one language that is the likeliest of every sentence needs no search
+        path = [int(own[0])] * len(at) if len(own) and (own == own[0]).all() else _viterbi(e[lo:hi])
+        ends_, got, k = [*at, len(x)], [], 0
+        for i in range(1, len(at) + 1):
+            if i == len(at) or path[i] != path[k]:
+                conf = float(post[lo + k : lo + i, path[k]].mean())
+                got.append((ends_[k], ends_[i], LANGUAGES[path[k]], round(conf, 4), i - k))
+                k = i
+        out.append(got)
+        lo = hi
     return out
 
 
@@ -212,23 +252,32 @@ def _viterbi(e: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def learn(texts: DataFrame, text: str, label: str, per_language: int = 700, chars: int = 400) -> Discriminator:
-    """Fit on about ``per_language`` texts of each label, of each one passage of ``chars`` characters.
+def learn(texts: DataFrame, key: str, text: str, labels: DataFrame, group: str, label: str, per_language: int = 250, chars: int = 400) -> Discriminator:
+    """Fit on the whole texts of about ``per_language`` rows of each label, cut into passages of ``chars`` characters.
 
-    The sample is the only bounded part: it is drawn by a hash of the text over all rows of a label.
+    ``texts`` has (key, group, text), ``labels`` (group, label). The sample is the only bounded part: distinct texts are drawn by their hash over
+    all rows of each label by itself, so neither copies nor a large language crowd out another. Keys are drawn first, and only the
+    texts of the drawn rows are fetched. No labels give a model that finds nothing.
     """
-    have = texts.where(F.col(label).isin(*LANGUAGES) & (F.length(F.trim(F.col(text))) > 0))
-    counts = {r[0]: r[1] for r in have.groupBy(label).count().collect()}
+    named = labels.where(F.col(label).isin(*LANGUAGES)).select(group, F.col(label).alias("l"))
+    rows = texts.where(F.length(F.trim(F.col(text))) > 0).select(F.col(key).alias("k"), group, F.xxhash64(text).alias("h"))
+    rows = durable(rows.join(named, group).select("k", "h", "l"))
+    counts = {r[0]: r[1] for r in rows.groupBy("l").agg(F.approx_count_distinct("h")).collect()}
     rate = F.lit(0)
     for lang, n in counts.items():
-        rate = F.when(F.col(label) == lang, int(min(1.0, per_language / n) * 1_000_000)).otherwise(rate)
-    h = F.xxhash64(text)
-    picked = have.where(F.pmod(h, F.lit(1_000_000)) < rate)
-    at = F.pmod(F.shiftright(h, 20), F.greatest(F.lit(1), F.length(text) - chars)) + 1
-    rows = picked.select(F.substr(F.col(text), at.cast("int"), F.lit(chars)).alias("t"), F.col(label).alias("l")).orderBy("l", "t")
-    rows = rows.limit(2 * per_language * len(LANGUAGES)).collect()
-    folded = fold(pa.array([r.t for r in rows], pa.string())).to_pylist()
-    return fit([(_SOFT_BREAK.sub(" ", t), r.l) for t, r in zip(folded, rows) if any(map(str.isalpha, t))])
+        rate = F.when(F.col("l") == lang, int(min(1.0, per_language / max(n, 1)) * 1_000_000)).otherwise(rate)
+    drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < rate).groupBy("l", "h").agg(F.min("k").alias("k"))
+    drawn = texts.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).join(F.broadcast(drawn), ["k", "h"])
+    got = sorted({(r.l, r.t) for r in drawn.collect()})
+    release(rows)
+    folded = fold(pa.array([t for _, t in got], pa.string())).to_pylist()
+    samples = []
+    for (lang, _), t in zip(got, folded):
+        flat = _SOFT_BREAK.sub(" ", t)
+        n = max(1, round(len(flat) / chars))
+        parts = (flat[len(flat) * i // n : len(flat) * (i + 1) // n] for i in range(n))
+        samples += [(p, lang) for p in parts if any(map(str.isalpha, p))]
+    return fit(samples)
 
 
 def passage_table(df: DataFrame, key: str, text: str, model: Discriminator, *keep: str) -> DataFrame:
@@ -244,8 +293,7 @@ def passage_table(df: DataFrame, key: str, text: str, model: Discriminator, *kee
             for lo in range(0, len(b), 200):
                 part = b.iloc[lo : lo + 200]
                 folded = fold(pa.array(part.iloc[:, -1], pa.string())).to_pylist()
-                for ids, t in zip(part.iloc[:, :-1].itertuples(index=False, name=None), folded):
-                    got = passages(t, own)
+                for ids, got in zip(part.iloc[:, :-1].itertuples(index=False, name=None), passages(folded, own)):
                     size: dict[str, tuple[int, int]] = {}
                     for s, e, lang, _, k in got:  # sentences weigh alike in all scripts
                         n0, c0 = size.get(lang, (0, 0))

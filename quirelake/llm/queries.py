@@ -58,7 +58,7 @@ def p3_normalized(spark: SparkSession, sf: str) -> DataFrame:
 def _p4_passages(spark: SparkSession, sf: str) -> DataFrame:
     books = table(spark, sf, "books", "id", "language").select(F.col("id").alias("book_id"), language.label_expr("language").alias("label"))
     chapters = table(spark, sf, "chapters", "id", "book_id", "content")
-    model = language.learn(chapters.join(books, "book_id"), "content", "label")
+    model = language.learn(chapters, "id", "content", books, "book_id", "label")
     return language.passage_table(spread(chapters, "id"), "id", "content", model, "book_id")
 
 
@@ -73,7 +73,8 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     passages = durable(_p4_passages(spark, sf))
     label = table(spark, sf, "books", "id", "language").select(F.col("id").alias("book_id"), language.label_expr("language").alias("label"))
     wrong = _p4_books(passages).join(label, "book_id").where("label is null or label <> lang")
-    mixed = passages.where("sentences >= 3 and lang <> main_lang").select("id", "lang").distinct()
+    # a chapter with a foreign passage counts for each of its languages, the main one included
+    mixed = passages.where("sentences >= 3 and lang <> main_lang").select("id", F.explode(F.array("lang", "main_lang")).alias("lang")).distinct()
     return wrong.select(F.lit("books").alias("src"), F.col("book_id").alias("row_id"), "lang").unionByName(
         mixed.select(F.lit("chapters").alias("src"), F.col("id").alias("row_id"), "lang")
     )

@@ -6,8 +6,11 @@ a whole block of rows:
 1. table gather with expansion offsets: canonical and compatibility decompositions that do not change
    how text looks (full width, half width, ligatures, no-break forms, presentation forms), blanks,
    invisible characters (expansion of length 0) and look-alike letters;
-2. canonical ordering of marks (one stable sort of the block, only if some mark is out of order);
-3. repeated composition of neighbouring pairs by binary search in the sorted table of pairs.
+2. look-alike letters go to the script of their word: that of its other letters, which every spelling of the word
+   shares, or, where it has none, Latin if a letter is one that other scripts rarely have, else that of the nearest word
+   before (else after) it that is decided;
+3. canonical ordering of marks (one stable sort of the block, only if some mark is out of order);
+4. repeated composition of neighbouring pairs by binary search in the sorted table of pairs.
 
 Super- and subscripts, fractions and circled forms stay as they are: they look different.
 
@@ -36,6 +39,10 @@ LOOK_ALIKE = {
     "ο": "o", "ϲ": "c", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K",
     "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ɡ": "g", "‐": "-", "‑": "-",
 }
+#: Scripts that share letters; an undecided text is Latin.
+LATIN, CYRILLIC, GREEK = 1, 2, 3
+#: Shared letters that other scripts than Latin rarely have.
+_RARE = np.array([ord(c) for c in "dhqwsQWS"])
 #: Kinds of compatibility decomposition that leave the look of a character as it is.
 _ALIKE_TAGS = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 _INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
@@ -89,12 +96,22 @@ def _tables() -> tuple[np.ndarray, ...]:
         if two and two[0] != "<" and " " in two and unicodedata.normalize("NFC", ch) == ch:
             a, b = (int(x, 16) for x in two.split())
             pairs[a << 21 | b] = cp
-    for a, b in LOOK_ALIKE.items():  # a mark on a look-alike letter composes like the mark on the Latin one
-        first[ord(a)], count[ord(a)] = ord(b), 1
+    # the scripts of letters that no other script shares, and the other scripts' form of the shared ones
+    script, other = np.zeros(size, np.uint8), np.tile(np.arange(size, dtype=np.int32), (4, 1))
+    for cp in [*range(0x24F + 1), *range(0x250, 0x530), *range(0x1C80, 0x1C90), *range(0x1E00, 0x2000), *range(0x2C60, 0x2C80), *range(0xA640, 0xA6A0), *range(0xA720, 0xA800)]:
+        word = unicodedata.name(chr(cp), "").split(" ")[0]
+        if unicodedata.category(chr(cp))[0] == "L":
+            script[cp] = {"LATIN": LATIN, "CYRILLIC": CYRILLIC, "GREEK": GREEK}.get(word, 0)
+    shared = {a: b for a, b in LOOK_ALIKE.items() if b.isalpha() and script[ord(a)] != LATIN}
+    for a, b in shared.items():
+        other[script[ord(a)], ord(b)] = ord(a)
+    letter = script > 0
+    for a, b in shared.items():
+        script[ord(a)] = script[ord(b)] = 0
     keys = np.array(sorted(pairs), np.int64)
     second = np.zeros(size, bool)
     second[keys & 0x1FFFFF] = True
-    return first, count, ccc, np.array(pool or [0], np.int32), keys, np.array([pairs[k] for k in keys.tolist()], np.int32), second
+    return first, count, ccc, np.array(pool or [0], np.int32), keys, np.array([pairs[k] for k in keys.tolist()], np.int32), second, script, letter, other
 
 
 def code_points(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +135,36 @@ def to_strings(cps: np.ndarray, offsets: np.ndarray, nulls: pa.Array | None = No
     return out if nulls is None or not nulls.null_count else pc.if_else(pc.is_null(nulls), pa.scalar(None, pa.large_string()), out)
 
 
+def _to_scripts(out: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Shared letters, so far all Latin, in the script of their word."""
+    _, _, ccc, _, _, _, _, script, letter, other = _tables()
+    own = script[out]
+    if not (own > LATIN).any():
+        return out
+    inside = letter[out] | (ccc[out] > 0)
+    fresh = inside & ~np.r_[False, inside[:-1] & (row[1:] == row[:-1])]
+    word = np.cumsum(fresh) - 1  # the number of the word a letter is in
+    votes = np.stack([np.bincount(word[own == k], minlength=int(word[-1]) + 1) for k in (LATIN, CYRILLIC, GREEK)], 1)
+    rare = np.bincount(word[np.isin(out, _RARE)], minlength=len(votes)) > 0
+    most = np.where(votes.any(1), votes.argmax(1) + 1, np.where(rare, LATIN, 0))
+    at = row[np.flatnonzero(fresh)]
+    # an undecided word takes the script of the nearest decided one before it in its row, else after it
+    n = np.arange(len(most))
+    before = np.maximum.accumulate(np.where(most > 0, n, -1))
+    after = _next(most)
+    use = np.where((before >= 0) & (at[before] == at), before, np.where((after < len(most)) & (at[np.minimum(after, len(most) - 1)] == at), np.minimum(after, len(most) - 1), -1))
+    most = np.where(use >= 0, most[use], LATIN)
+    return np.where(inside, other[most[np.maximum(word, 0)], out], out)
+
+
+def _next(most: np.ndarray) -> np.ndarray:
+    """The number of the first decided word at or after each; their count where there is none."""
+    n = len(most)
+    return np.minimum.accumulate(np.where(most > 0, np.arange(n), n)[::-1])[::-1]
+
+
 def _fold_points(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first, count, ccc, pool, keys, made, second = _tables()
+    first, count, ccc, pool, keys, made, second = _tables()[:7]
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     # a carriage return before a line feed is no character of its own
     cr = cps == 13
@@ -128,17 +173,24 @@ def _fold_points(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         drop[:-1] = cr[:-1] & (cps[1:] == 10) & (row[1:] == row[:-1])
         cps, row = np.where(cr, 10, cps)[~drop], row[~drop]
     n = count[cps].astype(np.int64)
+    # a joiner after a sign that kills a vowel changes the print
+    join = np.flatnonzero((cps[1:] == 0x200C) | (cps[1:] == 0x200D)) + 1
+    join = join[(ccc[cps[join - 1]] == 9) & (row[join] == row[join - 1])]
+    n[join] = 1
     if (n == 1).all():
         out = first[cps]
+        out[join] = cps[join]
     else:
         start = np.cumsum(n) - n
         src = np.repeat(np.arange(len(cps)), n)
         inner = np.arange(len(src)) - start[src]
         base = first[cps]
+        base[join] = cps[join]
         many = n[src] > 1
         out = base[src]
         out[many] = pool[out[many] + inner[many]]
         row = row[src]
+    out = _to_scripts(out, row)
     mark = ccc[out]
     if mark.any():
         late = (mark[1:] > 0) & (mark[1:] < mark[:-1]) & (row[1:] == row[:-1])

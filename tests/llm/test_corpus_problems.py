@@ -29,11 +29,11 @@ def disc():
 
 def test_passages(disc):
     for x in SAY:
-        assert [p[2] for p in language.passages(SAY[x].format("Brook") * 3, disc)] == [x]
+        assert [p[2] for p in language.passages([SAY[x].format("Brook") * 3], disc)[0]] == [x]
     mixed = SAY["en"].format("a") * 4 + "\n\n" + SAY["ru"].format("b") * 2 + "\n\n" + SAY["en"].format("c") * 3
-    got = language.passages(mixed, disc)
+    got = language.passages([None, mixed, "x"], disc)[1]
     assert [p[2] for p in got] == ["en", "ru", "en"] and got[1][4] == 4 and got[0][3] > 0.8
-    assert language.passages(None, disc) == language.passages("", disc) == language.passages("  \n", disc) == []
+    assert language.passages([None, "", "  \n"], disc) == [[], [], []]
 
 
 def test_labels(spark):
@@ -208,3 +208,19 @@ def test_background_over_all_documents(spark):
 def test_counts_of_characters(spark):
     df = spark.createDataFrame([("ab",), (None,), ("",)], "t string")
     assert sum(r.n for r in encoding.bigram_counts(df, "t").collect()) > 0
+
+
+def test_mixed_chapters_and_labels(spark, tmp_path):
+    from quirelake.llm import queries
+
+    text = {x: " ".join(SAY[x].format(f"Lum{i}") for i in range(8)) for x in SAY}
+    books = [(i, x) for i, x in enumerate(SAY)] + [(90, None), (91, "English"), (92, "de")]
+    rows = [(1000 + n * 100 + k, n, text[x].replace("Lum", f"Nor{k}")) for n, x in enumerate(SAY) for k in range(12)]
+    rows += [(9000 + k, 0, text["en"]) for k in range(400)]  # copies draw once
+    mixed = text["en"] + "\n\n" + SAY["ru"].format("b") * 2 + "\n\n" + text["en"]
+    quoted = text["hu"] + " " + SAY["en"].format("c").split(".")[0] + "."
+    rows += [(1, 90, text["ru"]), (2, 91, mixed), (3, 92, text["hu"]), (4, 92, quoted), (5, 92, None), (6, 91, "")]
+    spark.createDataFrame(books, "id long, language string").write.parquet(f"{tmp_path}/books.parquet")
+    spark.createDataFrame(rows, "id long, book_id long, content string").write.parquet(f"{tmp_path}/chapters.parquet")
+    got = sorted((r.src, r.row_id, r.lang) for r in queries.p4_found(spark, str(tmp_path)).collect())
+    assert got == [("books", 90, "ru"), ("books", 92, "hu"), ("chapters", 2, "en"), ("chapters", 2, "ru")]

@@ -23,6 +23,19 @@ def test_fold():
         assert textform.fold_str(a) != textform.fold_str(b)
 
 
+def test_fold_keeps_the_script_of_a_word():
+    for same in ["Мама мыла раму", "Михаил сор и а", "Αθήνα ΑΒΓ", "Два and two saws", "ёлка", "क्\u200dष"]:
+        assert textform.fold_str(same) == same
+    assert textform.fold_str("Mамa c Aнной") == "Мама с Анной" and textform.fold_str("ԝіtһоut") == "without"
+    assert textform.fold_str("cop") == textform.fold_str("сор") and textform.fold_str("аn") == "an"
+    random.seed(5)
+    twin = {b: a for a, b in textform.LOOK_ALIKE.items() if b.isalpha()}
+    for s in ["Мама мыла раму с Peter", "the cop saw the Ох in Москва", "A A а и O"]:
+        for _ in range(50):
+            other = "".join(random.choice([c, twin.get(c, c), textform.LOOK_ALIKE.get(c, c)]) for c in s)
+            assert textform.fold_str(other) == textform.fold_str(s)
+
+
 def test_fold_keeps_rows_apart():
     got = textform.fold(pa.array(["e", "́x", None, "", "a "])).to_pylist()
     assert got == ["e", "́x", None, "", "a"]
