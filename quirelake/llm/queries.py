@@ -13,24 +13,22 @@ from . import encoding, language, leaks, mixing, names, pieces, scans, sentences
 _CHAPTERS = ("id", "content")
 
 
-def _p1(spark: SparkSession, sf: str, with_text: bool) -> DataFrame:
-    chapters = spread(table(spark, sf, "chapters", *_CHAPTERS), "id").withColumnRenamed("content", "text")
-    names = spread(table(spark, sf, "characters", "id", "name"), "id").withColumnRenamed("name", "text")
-    model = encoding.learn((chapters, "text"), (names, "text"))
-    parts = [
-        encoding.repaired(df, "id", "text", model, with_text).withColumn("src", F.lit(src)).withColumnRenamed("id", "row_id")
-        for src, df in (("chapters", chapters), ("characters", names))
-    ]
-    return parts[0].unionByName(parts[1]).where("garbled_words > 0")
+def _p1(spark: SparkSession, sf: str) -> tuple[DataFrame, encoding.Plausibility]:
+    parts = [("chapters", "content"), ("characters", "name")]
+    fields = [spread(table(spark, sf, t, "id", c), "id").select(F.lit(t).alias("src"), F.col("id").alias("row_id"), F.col(c).alias("text")) for t, c in parts]
+    rows = fields[0].unionByName(fields[1])
+    return rows, encoding.learn((rows, "text"))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _p1(spark, sf, False).select("src", "row_id")
+    rows, model = _p1(spark, sf)
+    return encoding.garbled(rows, ["src", "row_id"], "text", model)
 
 
 def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
     """The damaged rows with their text given back; lost_words counts what is past repair."""
-    return _p1(spark, sf, True).select("src", "row_id", "garbled_words", "lost_words", "repaired")
+    rows, model = _p1(spark, sf)
+    return encoding.repaired(rows, ["src", "row_id"], "text", model)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

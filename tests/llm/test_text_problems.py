@@ -88,10 +88,23 @@ def test_sound_and_lost(model):
     assert encoding.repair("caf&eacute; x", model, {})[0] == "café x"
 
 
+def test_long_word_and_chains(model):
+    word = "tükrötésZsuzsannátkölcsönkérte" * 200
+    assert encoding.repair(word.encode().decode("cp1252"), model, {})[0] == word
+    escaped = "János kölcsönkérte".encode().decode("cp1252").replace("Ã", "&Atilde;")
+    assert encoding.repair(escaped, model, {})[0] == "János kölcsönkérte"
+    swapped = "törött tükröt".encode("cp1250").decode("mac_roman").encode().decode("cp1252")  # a swap behind UTF-8
+    assert encoding.repair(swapped, model, {})[0] == "törött tükröt"
+
+
 def test_repaired_table(spark, model):
-    got = {r.id: r for r in encoding.repaired(frame(spark, [(1, "JoÃ£o"), (2, None), (3, "")]), "id", "t", model).collect()}
-    assert got[1].repaired == "João" and got[2].repaired is None and got[3].garbled_words == 0
-    assert encoding.repaired(frame(spark, []), "id", "t", model).count() == 0
+    rows = [(1, "JoÃ£o"), (2, None), (3, ""), (4, "sound"), (5, "JoÃ£o e S�ren"), (1, "JoÃ£o")]
+    got = {r.id: r for r in encoding.repaired(frame(spark, rows), ["id"], "t", model).collect()}
+    assert got[1].repaired == "João" and sorted(got) == [1, 5] and (got[5].garbled_words, got[5].lost_words) == (2, 1)
+    assert sorted(r.id for r in encoding.garbled(frame(spark, rows), ["id"], "t", model).collect()) == [1, 5]
+    assert encoding.repaired(frame(spark, []), ["id"], "t", model).count() == 0
+    hot = [(i, "A JoÃ£o nem jött.") for i in range(300)] + [(300, "sound")]
+    assert encoding.garbled(frame(spark, hot), ["id"], "t", model).count() == 300
 
 
 # ------------------------------------------------------------ pieces
