@@ -4,20 +4,25 @@ Four kinds of trace are found and undone: words cut at line ends, page numbers a
 lines, stray marks, and misread characters.
 
 Misreadings: the lexicon of all words of the corpus with their frequency is put into a symmetric-delete index (forms with confusable
-digraphs unified, each with one character deleted); words that meet there are compared by an edit distance in
-which confusion pairs are cheap and all else is dear. A word is a misreading of a much more frequent word at a
-small distance; which of several it is, the neighbouring words decide (bigram counts of the corpus), then frequency.
-
-All counts cover all rows. Lexicon, index and corrections stay distributed; a corrections table is joined to the words of the texts.
-Null and empty texts are clean; repeated rows get equal answers; clean text that is only wrapped into lines is no case.
+digraphs unified, each with one character deleted; the index holds their hashes, so words of any length are filed); words that meet there
+are compared by an edit distance in which confusion pairs are cheap and all else is dear. A word is a misreading of a much more
+frequent word at a small distance; which of several it is, and whether it is one at all, is decided at each place by the words beside it (bigram
+counts of the corpus), then by frequency.
+
+All counts cover all rows. Three passes read the texts: one for the lexicon and the traces of the page, one for the places of words that
+have corrections, one for the bigrams asked for. The passes know the words they look for from bitmaps of a fixed size; what a bitmap lets
+through by chance, a join takes out. Lexicon, index and corrections stay distributed. Null and empty texts are clean; repeated
+rows get equal answers; clean text that is only wrapped into lines is no case.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +37,13 @@ RATIO, LEAST = 10, 5
 #: Cost of a confusion and of any other edit, and the most a repair may cost.
 CHEAP, DEAR, MOST = 0.4, 2.0, 0.9
 
-_INVISIBLE = re.compile("[​‌‍⁠﻿]")
+#: Bits of a bitmap of words.
+BITS = 1 << 24
+
+_INVISIBLE = re.compile("[​‌‍⁠﻿]|\xad(?! *\n)")
+_CUT_HERE = re.compile(r"[-‐¬\xad] *\n")
+_MAY_BE_LINE = re.compile(r"\d|^[ \t]*[—–-]")
+_MARKS = re.compile("[|~^·•¦]")
 _WORD = re.compile(r"[^\W_]+")
 _CUT = re.compile(r"([^\W\d_]+)([-‐¬\xad]) *\n[ \n]*([^\W\d_]+)")
 _NUMBER_LINE = re.compile(r"^[ \t]*(?:[\[(|<~·•*—–-]+[ \t]*)?(?:p\.|page|pag\.|s\.|стр\.)?[ \t]*\d{1,4}[ \t]*(?:[\])|>~·•*—–-]+)?[ \t]*$|^[ \t]*[—–-]{1,2}[ \t]*[ivxlc]{1,6}[ \t]*[—–-]{1,2}[ \t]*$", re.I)
@@ -50,6 +61,8 @@ def lines_to_drop(lines: list[str]) -> set[int]:
     for k, i in enumerate(solid):
         line, bare = lines[i], lines[i].strip("\f \t")
         fresh = line.startswith("\f")
+        if not fresh and not _MAY_BE_LINE.search(line):
+            continue
         header = _HEADER_LINE.match(bare)
         if not (fresh or header or _NUMBER_LINE.match(bare)):
             continue
@@ -71,40 +84,66 @@ def lines_to_drop(lines: list[str]) -> set[int]:
     return drop
 
 
-def signs(text: str | None) -> tuple[int, int, list[tuple[str, str, str, str]]]:
-    """(page lines, stray marks, cut words as (joined, left, mark, right)) of one text."""
-    if not text or "\n" not in text and not _STRAY.search(text):
+def clean(text: str) -> str:
+    """The text without signs that do not print; places in a text count on this form."""
+    return _INVISIBLE.sub("", text)
+
+
+def signs(text: str) -> tuple[int, int, list[tuple[str, str, str, str]]]:
+    """(page lines, stray marks, cut words as (joined, left, mark, right)) of one clean text."""
+    marks = _MARKS.search(text)
+    if "\n" not in text and not marks:
         return 0, 0, []
-    text = _INVISIBLE.sub("", text)
-    lines = text.split("\n")
-    drop = lines_to_drop(lines)
-    body = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-    cuts = [(m[1] + m[3], m[1], m[2], m[3]) for m in _CUT.finditer(body)]
+    drop: set[int] = set()
+    body = text
+    if "\n" in text:
+        lines = text.split("\n")
+        drop = lines_to_drop(lines)
+        if drop:
+            body = "\n".join(x for i, x in enumerate(lines) if i not in drop)
+    cuts = [(m[1] + m[3], m[1], m[2], m[3]) for m in _CUT.finditer(body)] if _CUT_HERE.search(body) else []
+    if not marks:
+        return len(drop), 0, cuts
     stray = sum(not _GARBLED.search(body[max(0, m.start() - 8) : m.start()]) for m in _STRAY.finditer(body))
     return len(drop), stray + len(_STRAY_START.findall(body)), cuts
 
 
-def words_of(text: str) -> list[str]:
-    """The whole words of a text: parts of words cut at line ends are left out."""
-    text = _INVISIBLE.sub("", text).replace("\xad", "") if "\n" not in text else _CUT.sub(" ", _INVISIBLE.sub("", text)).replace("\xad", "")
-    return _WORD.findall(text)
+def words_of(text: str) -> str:
+    """A clean text in which words cut at line ends are blanked out."""
+    return _CUT.sub(lambda m: " " * len(m[0]), text) if _CUT_HERE.search(text) else text
 
 
-def lexicon(df: DataFrame, text: str) -> DataFrame:
-    """(word, n) over all rows, counted in each worker before the shuffle."""
+def read(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lexicon (word, n), (key, page_lines, stray, sure_cuts, cuts), the table both are kept in) in one pass over the texts."""
+    kind = df.schema[key].dataType.simpleString()
+    cols = [key, "page_lines", "stray", "sure_cuts", "cuts", "word", "n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
+
+        def words() -> pd.DataFrame:  # counted in each worker before the shuffle
+            return pd.DataFrame([(None, None, None, None, None, w, n) for w, n in total.items()], columns=cols).astype({c: "Int64" for c in cols[1:4]} | ({key: "Int64"} if kind in ("bigint", "int") else {}))
+
         for b in batches:
-            for t in b.iloc[:, 0]:
-                if t:
-                    total.update(words_of(t))
+            rows = []
+            for k, t in zip(b.iloc[:, 0], b.iloc[:, 1]):
+                if not t:
+                    continue
+                t = clean(t)
+                total.update(_WORD.findall(words_of(t)))
+                pages, stray, cuts = signs(t)
+                if pages or stray or cuts:
+                    rows.append((k, pages, stray, sum(m in "¬\xad" for _, _, m, _ in cuts), [[j, x, y] for j, x, m, y in cuts if m not in "¬\xad"], None, None))
+            yield pd.DataFrame(rows, columns=cols).astype({"n": "Int64"})
             if len(total) > 300_000:
-                yield pd.DataFrame(list(total.items()), columns=["word", "n"])
+                yield words()
                 total.clear()
-        yield pd.DataFrame(list(total.items()), columns=["word", "n"])
+        if total:
+            yield words()
 
-    return df.select(text).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    kept = durable(df.select(key, text).mapInPandas(run, f"`{key}` {kind}, page_lines int, stray int, sure_cuts int, cuts array<array<string>>, word string, n long"))
+    lex = kept.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    return lex, kept.where("word is null").drop("word", "n"), kept
 
 
 def canonical(word: str) -> str:
@@ -113,44 +152,66 @@ def canonical(word: str) -> str:
     return word
 
 
-def deletes(word: str) -> list[str]:
-    c = canonical(word)
-    return list({c, *(c[:i] + c[i + 1 :] for i in range(len(c)))})
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def deletes(word: str) -> np.ndarray:
+    """Hashes of the unified form of a word and of all forms with one character deleted, in time in proportion to its length."""
+    c = np.frombuffer(canonical(word).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(7)
+    n = len(c)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)])
+        before = np.r_[np.uint64(0), np.cumsum(c * power[:n])]  # of the first i characters
+        whole = before[n]
+        # behind a deleted character every power is one less
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        less = before[:n] + (whole - before[1:]) * inverse
+        out = np.unique(np.r_[whole, less] * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.r_[np.uint64(n), np.full(n, np.uint64(n - 1))])
+    return out.view(np.int64)
 
 
 def distance(a: str, b: str, most: float = MOST) -> float:
-    """Weighted edit distance: confusion pairs and digraphs are cheap."""
+    """Weighted edit distance: confusion pairs and digraphs are cheap. Within ``most`` no more than two edits fit, so a band of five suffices."""
     inf = most + 9
-    rows = [[inf] * (len(b) + 1) for _ in range(len(a) + 1)]
+    la, lb = len(a), len(b)
+    if abs(la - lb) > 2:
+        return inf
+    rows: list[dict[int, float]] = [{} for _ in range(la + 1)]
     rows[0][0] = 0.0
-    for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            v = rows[i][j]
+    for i in range(la + 1):
+        for j in range(max(0, i - 2), min(lb, i + 2) + 1):
+            v = rows[i].get(j, inf)
             if v > most:
                 continue
-            if i < len(a) and j < len(b):
+            if i < la and j < lb:
                 c = 0.0 if a[i] == b[j] else CHEAP if frozenset((a[i], b[j])) in CONFUSED else DEAR
-                rows[i + 1][j + 1] = min(rows[i + 1][j + 1], v + c)
+                if v + c < rows[i + 1].get(j + 1, inf):
+                    rows[i + 1][j + 1] = v + c
             for x, y in DIGRAPHS:
-                if a.startswith(x, i) and b.startswith(y, j):
-                    rows[i + len(x)][j + len(y)] = min(rows[i + len(x)][j + len(y)], v + CHEAP)
-                if a.startswith(y, i) and b.startswith(x, j):
-                    rows[i + len(y)][j + len(x)] = min(rows[i + len(y)][j + len(x)], v + CHEAP)
-    return rows[len(a)][len(b)]
+                for p, q in ((x, y), (y, x)):
+                    if a.startswith(p, i) and b.startswith(q, j) and v + CHEAP < rows[i + len(p)].get(j + len(q), inf):
+                        rows[i + len(p)][j + len(q)] = v + CHEAP
+    return rows[la].get(lb, inf)
 
 
 def corrections(lex: DataFrame) -> DataFrame:
-    """(word, n, better, m, cost): every word that may be a misreading, with each word it may stand for."""
+    """(word, n, better, m, cost): every word that may be a misreading, with each word it may stand for.
+
+    A key holds a frequency band besides the hash: a word meets only words of a higher band, so words of one rank never
+    meet, and what meets under a short key is bounded by the alphabets.
+    """
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(w, n, k) for w, n in zip(b["word"], b["n"]) if 3 <= len(w) <= 40 and not w.isdigit() for k in deletes(w) if len(k) >= 2]
-            yield pd.DataFrame(rows, columns=["word", "n", "k"])
+            b = b[~b["word"].str.isdigit()]
+            hashes = [deletes(w) for w in b["word"]]
+            many = [len(h) for h in hashes]
+            yield pd.DataFrame({"word": np.repeat(b["word"].to_numpy(), many), "n": np.repeat(b["n"].to_numpy(), many), "h": np.concatenate([np.zeros(0, np.int64), *hashes])})
 
-    keyed = durable(lex.where(F.length("word") >= 3).mapInPandas(file, "word string, n long, k string"))
-    right = keyed.where(F.col("n") >= LEAST).select(F.col("word").alias("better"), F.col("n").alias("m"), "k")
-    # the ratio is part of the join condition, so frequent words meet no partners of their own rank
-    pairs = keyed.join(right, "k").where(F.col("m") >= F.col("n") * RATIO).where("word <> better").select("word", "n", "better", "m").distinct()
+    keyed = lex.where(F.length("word") >= 3).mapInPandas(file, "word string, n long, h long")
+    keyed = durable(keyed.withColumn("band", F.length(F.col("n").cast("string"))))
+    right = keyed.where((F.col("n") >= LEAST) & (F.col("band") > 1)).select(F.col("word").alias("better"), F.col("n").alias("m"), "h", F.explode(F.sequence(F.lit(1), F.col("band") - 1)).alias("band"))
+    pairs = keyed.join(right, ["h", "band"]).where(F.col("m") >= F.col("n") * RATIO).where("word <> better").select("word", "n", "better", "m").distinct()
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,57 +221,83 @@ def corrections(lex: DataFrame) -> DataFrame:
     return pairs.mapInPandas(weigh, "word string, n long, better string, m long, cost double")
 
 
-def _neighbours(df: DataFrame, key: str, text: str, fixes: DataFrame) -> DataFrame:
-    """(key, word, before, after) of every occurrence of a word that has corrections; equal ones once."""
+def bitmap(words: DataFrame, col: str) -> np.ndarray:
+    """A bitmap of the checksums of the words of a column; its size is fixed, whatever the number of words."""
+    bit = words.select(F.pmod(F.crc32(col), F.lit(BITS)).alias("b")).distinct()
+    slots = bit.groupBy(F.shiftright("b", 6).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))).alias("bits"))
+    out = np.zeros(BITS >> 6, np.uint64)
+    for r in slots.toLocalIterator():
+        out[r.slot] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
+class _Flags(dict):
+    """Which of several bitmaps hold a word, as a bit set."""
+
+    def __init__(self, maps: list[np.ndarray]):
+        self.maps = maps
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:  # a store for speed only
+            self.clear()
+        b = zlib.crc32(word.encode("utf-8", "replace")) % BITS
+        v = self[word] = sum(int(m[b >> 6]) >> (b & 63) & 1 and 1 << i for i, m in enumerate(self.maps))
+        return v
+
+
+def places(df: DataFrame, key: str, text: str, fixes: DataFrame) -> DataFrame:
+    """(key, pos, word, before, after) of every place of a word that has corrections; ``pos`` counts in the clean text."""
     kind = df.schema[key].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(fixes, "word"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flags = _Flags([shared.value])
         for b in batches:
             rows = []
             for k, t in zip(b.iloc[:, 0], b.iloc[:, 1]):
                 if t:
-                    ws = ["", *words_of(t), ""]
-                    rows += [(k, w, x, y) for x, w, y in set(zip(ws, ws[1:], ws[2:])) if len(w) >= 3]
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=[key, "word", "before", "after"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=[key, "word", "before", "after"])
+                    body = words_of(clean(t))
+                    ws = ["", *_WORD.findall(body), ""]
+                    hit = [i for i, w in enumerate(ws) if len(w) >= 3 and flags[w]]
+                    if hit:
+                        at = [m.start() for m in _WORD.finditer(body)]
+                        rows += [(k, at[i - 1], ws[i], ws[i - 1], ws[i + 1]) for i in hit]
+            yield pd.DataFrame(rows, columns=[key, "pos", "word", "before", "after"])
 
-    seen = df.select(key, text).mapInPandas(run, f"`{key}` {kind}, word string, before string, after string")
-    return seen.join(fixes.select("word").distinct(), "word", "left_semi").distinct()
+    seen = df.select(key, text).mapInPandas(run, f"`{key}` {kind}, pos int, word string, before string, after string")
+    return seen.join(fixes.select("word").distinct(), "word", "left_semi")
 
 
 def misread(df: DataFrame, key: str, text: str, lex: DataFrame) -> DataFrame:
-    """(key, word, better): the misread words of each text, and the repair that context and frequency pick.
-
-    The context of a repair is the support of all distinct places of the word in the text, summed.
-    """
+    """(key, pos, word, better): the misread words at each place of each text, and the repair that context and frequency pick there."""
     fixes = durable(corrections(lex))
-    seen = durable(_neighbours(df, key, text, fixes))
-    asked = seen.join(fixes, "word")
+    seen = durable(places(df, key, text, fixes))
+    asked = seen.select("word", "before", "after").distinct().join(fixes, "word")
     # bigrams of the candidates with the words that stand beside the misreading, counted over the corpus
-    want = asked.select(F.col("before").alias("x"), F.col("better").alias("y")).unionByName(asked.select(F.col("better").alias("x"), F.col("after").alias("y"))).distinct()
-    have = _bigrams(df, text, want)
+    want = asked.select(F.col("before").alias("x"), F.col("better").alias("y")).unionByName(asked.select(F.col("better").alias("x"), F.col("after").alias("y")))
+    have = _bigrams(df, text, durable(want.where("x <> '' and y <> ''").distinct()))
     left, right = have.toDF("before", "better", "nl"), have.toDF("better", "after", "nr")
     scored = asked.join(left, ["before", "better"], "left").join(right, ["better", "after"], "left")
-    context = F.sum(F.coalesce("nl", F.lit(0)) + F.coalesce("nr", F.lit(0)))
-    scored = scored.groupBy(key, "word", "n", "better", "m", "cost").agg(context.alias("context"))
+    scored = scored.withColumn("context", F.coalesce("nl", F.lit(0)) + F.coalesce("nr", F.lit(0)))
     # without support from its neighbours a word must be a far rarer one than its correction
     scored = scored.where((F.col("context") > 0) | (F.col("m") >= F.col("n") * 10 * RATIO))
-    best = scored.groupBy(key, "word").agg(F.max(F.struct("context", (-F.col("cost")).alias("c"), "m", "better")).alias("b"))
-    return best.select(key, "word", F.col("b.better").alias("better"))
+    best = scored.groupBy("word", "before", "after").agg(F.max(F.struct("context", (-F.col("cost")).alias("c"), "m", "better")).alias("b"))
+    best = best.select("word", "before", "after", F.col("b.better").alias("better"))
+    return seen.join(best, ["word", "before", "after"]).select(key, "pos", "word", "better")
 
 
 def _bigrams(df: DataFrame, text: str, want: DataFrame) -> DataFrame:
     """Counts of the wanted bigrams over all rows."""
+    shared = df.sparkSession.sparkContext.broadcast([bitmap(want, "x"), bitmap(want, "y")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        flags, total = _Flags(shared.value), Counter()
         for b in batches:
             for t in b.iloc[:, 0]:
                 if t:
-                    ws = words_of(t)
-                    total.update(zip(ws, ws[1:]))
+                    ws = _WORD.findall(words_of(clean(t)))
+                    f = [flags[w] for w in ws]
+                    total.update((ws[i], ws[i + 1]) for i in range(len(ws) - 1) if f[i] & 1 and f[i + 1] & 2)
             if len(total) > 200_000:
                 yield pd.DataFrame([(x, y, n) for (x, y), n in total.items()], columns=["x", "y", "n"])
                 total.clear()
@@ -220,34 +307,22 @@ def _bigrams(df: DataFrame, text: str, want: DataFrame) -> DataFrame:
     return counted.join(want, ["x", "y"], "left_semi").groupBy("x", "y").agg(F.sum("n").alias("n"))
 
 
-def traces(df: DataFrame, key: str, text: str, lex: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((key, page_lines, stray, sure_cuts), (key, joined)): traces of the page, and cut words the lexicon confirms."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, t in zip(b.iloc[:, 0], b.iloc[:, 1]):
-                pages, stray, cuts = signs(t)
-                if pages or stray or cuts:
-                    rows.append((k, pages, stray, sum(m in "¬\xad" for _, _, m, _ in cuts), [[j, x, y] for j, x, m, y in cuts if m not in "¬\xad"]))
-            yield pd.DataFrame(rows, columns=[key, "page_lines", "stray", "sure_cuts", "cuts"])
-
-    found = durable(df.select(key, text).mapInPandas(run, f"`{key}` {kind}, page_lines int, stray int, sure_cuts int, cuts array<array<string>>"))
+def whole_words(found: DataFrame, key: str, lex: DataFrame) -> DataFrame:
+    """(key, joined): cut words whose joined form the lexicon confirms."""
     cut = found.select(key, F.explode("cuts").alias("c")).select(key, F.col("c")[0].alias("word"), F.col("c")[1].alias("x"), F.col("c")[2].alias("y"))
     n = lex.select(F.col("word"), F.col("n").alias("nj"))
     cut = cut.join(n, "word", "left").join(lex.select(F.col("word").alias("y"), F.col("n").alias("ny")), "y", "left").join(lex.select(F.col("word").alias("x"), F.col("n").alias("nx")), "x", "left")
     # a compound keeps its hyphen: both parts are words and the joined form is not
     whole = cut.where((F.coalesce("nj", F.lit(0)) > 0) | (F.least(F.coalesce("nx", F.lit(0)), F.coalesce("ny", F.lit(0))) == 0) & (F.substring("y", 1, 1) == F.lower(F.substring("y", 1, 1))))
-    return found.drop("cuts"), whole.select(key, F.col("word").alias("joined"))
+    return whole.select(key, F.col("word").alias("joined"))
 
 
 def damaged(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, page_lines, stray, cut_words, misread): the texts that carry traces of a scanned page."""
     df = df.select(key, text).where(F.col(text).isNotNull())
-    lex = durable(lexicon(df, text))
-    marks, cuts = traces(df, key, text, lex)
-    bad = misread(df, key, text, lex)
+    lex, marks, _ = read(df, key, text)
+    lex = durable(lex)
+    cuts, bad = whole_words(marks, key, lex), misread(df, key, text, lex)
     parts = [
         marks.select(key, "page_lines", "stray", F.col("sure_cuts").alias("cut_words"), F.lit(0).alias("misread")),
         cuts.select(key, F.lit(0).alias("page_lines"), F.lit(0).alias("stray"), F.lit(1).alias("cut_words"), F.lit(0).alias("misread")),
@@ -259,15 +334,20 @@ def damaged(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.where(" + ".join(names) + " > 0")
 
 
-def mend(text: str, fixes: dict[str, str], cuts: set[str]) -> str:
-    """The text without traces of the page, as continuous paragraphs."""
-    text = _INVISIBLE.sub("", text)
+def mend(text: str, fixes: dict[int, tuple[str, str]], cuts: set[str]) -> str:
+    """The text without traces of the page, as continuous paragraphs; ``fixes`` has (word, better) by place in the clean text."""
+    text = clean(text)
+    parts, at = [], 0
+    for pos in sorted(fixes):
+        word, better = fixes[pos]
+        parts += [text[at:pos], better]
+        at = pos + len(word)
+    text = "".join([*parts, text[at:]])
     lines = text.split("\n")
     drop = lines_to_drop(lines)
     text = "\n".join(x for i, x in enumerate(lines) if i not in drop)
     text = _CUT.sub(lambda m: m[1] + m[3] if m[2] in "¬\xad" or m[1] + m[3] in cuts else m[1] + m[2] + m[3], text)
     text = _STRAY_START.sub("", _STRAY.sub("", text))
-    text = _WORD.sub(lambda m: fixes.get(m[0], m[0]), text)
     text = re.sub(r"(?<=[^\n]) *\n(?=[^\n])", " ", text.replace("\f", "\n"))
     return re.sub(r"[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", text)).strip()
 
@@ -276,17 +356,17 @@ def mended(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, mended): the repaired text of every text that carries traces of a scanned page."""
     kind = df.schema[key].dataType.simpleString()
     base = df.select(key, text).where(F.col(text).isNotNull())
-    lex = durable(lexicon(base, text))
-    marks, cuts = traces(base, key, text, lex)
-    bad = misread(base, key, text, lex).groupBy(key).agg(F.collect_list(F.array("word", "better")).alias("fixes"))
-    cuts = cuts.groupBy(key).agg(F.collect_set("joined").alias("cuts"))
-    hit = marks.select(key).unionByName(cuts.select(key)).unionByName(bad.select(key)).distinct()
+    lex, marks, _ = read(base, key, text)
+    lex = durable(lex)
+    bad = misread(base, key, text, lex).groupBy(key).agg(F.collect_set(F.struct("pos", "word", "better")).alias("fixes"))
+    cuts = whole_words(marks, key, lex).groupBy(key).agg(F.collect_set("joined").alias("cuts"))
+    hit = marks.where("page_lines + stray + sure_cuts > 0").select(key).unionByName(cuts.select(key)).unionByName(bad.select(key)).distinct()
     joined = base.join(hit, key, "left_semi").join(bad, key, "left").join(cuts, key, "left").select(key, text, "fixes", "cuts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [
-                (k, mend(t, {x[0]: x[1] for x in f} if f is not None else {}, set(c) if c is not None else set()))
+                (k, mend(t, {x["pos"]: (x["word"], x["better"]) for x in f} if f is not None else {}, set(c) if c is not None else set()))
                 for k, t, f, c in zip(b.iloc[:, 0], b.iloc[:, 1], b["fixes"], b["cuts"])
             ]
             yield pd.DataFrame(rows, columns=[key, "mended"])

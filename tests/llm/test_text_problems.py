@@ -184,7 +184,7 @@ def test_signs():
     page, stray, cuts = scans.signs(t)
     assert page == 2 and stray == 1 and cuts[0][0] == "Rostask"
     assert scans.signs("A clean line\nwrapped here.\n\nIn 1848\nit rained.") == (0, 0, [])
-    assert scans.signs(None) == scans.signs("") == (0, 0, [])
+    assert scans.signs("") == (0, 0, [])
 
 
 def test_distance():
@@ -192,6 +192,20 @@ def test_distance():
     assert scans.distance("table", "there") > scans.MOST
 
 
+def test_index_of_deletes():
+    for a, b in [("burned", "bumed"), ("table", "tale"), ("x" * 5000 + "e", "x" * 5000 + "c"), ("abc", "abd")]:
+        assert set(scans.deletes(a)) & set(scans.deletes(b))
+    assert not set(scans.deletes("abcd")) & set(scans.deletes("wxyz"))
+    random.seed(2)
+    for _ in range(200):
+        w = "".join(random.choice("abc") for _ in range(random.randint(3, 9)))
+        forms = {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+        assert len(scans.deletes(w)) == len(forms)
+        v = "".join(random.choice("abc") for _ in range(random.randint(3, 9)))
+        other = {v, *(v[:i] + v[i + 1 :] for i in range(len(v)))}
+        assert bool(set(scans.deletes(v)) & set(scans.deletes(w))) == bool(forms & other)
+
+
 def test_damaged_and_mended(spark):
     clean = "The stranger burned the wrong envelope there before the night. Anna burned the letter there."
     rows = [(i, clean) for i in range(40)] + [(100, clean.replace("burned the wrong", "bumed the wrong")), (101, "The stran-\nger burned the\n[27]\nwrong envelope there."), (102, "The stranger burned\nthe wrong envelope."), (103, None), (104, "")]
@@ -207,4 +221,5 @@ def test_context_of_all_occurrences(spark):
     late = "Qualm bumed quoin. The stranger bumed the wrong envelope there."
     df = frame(spark, [(i, clean) for i in range(40)] + [(100, late), (101, late.replace("Qualm", "Zonk"))])
     assert sorted(r.id for r in scans.damaged(df, "id", "t").collect()) == [100, 101]
-    assert {r.id: r.mended for r in scans.mended(df, "id", "t").collect()}[100] == late.replace("bumed", "burned")
+    got = {r.id: r.mended for r in scans.mended(df, "id", "t").collect()}
+    assert got[100] == late.replace("stranger bumed", "stranger burned")  # each place is judged by itself
