@@ -269,7 +269,10 @@ def places(df: DataFrame, key: str, text: str, fixes: DataFrame) -> DataFrame:
 
 
 def misread(df: DataFrame, key: str, text: str, lex: DataFrame) -> DataFrame:
-    """(key, pos, word, better): the misread words at each place of each text, and the repair that context and frequency pick there."""
+    """(key, pos, word, better): the misread words at each place of each text, and the repair that context and frequency pick there.
+
+    A place whose own neighbours tell nothing takes the repair that the other places of the word in its text support most.
+    """
     fixes = durable(corrections(lex))
     seen = durable(places(df, key, text, fixes))
     asked = seen.select("word", "before", "after").distinct().join(fixes, "word")
@@ -282,8 +285,11 @@ def misread(df: DataFrame, key: str, text: str, lex: DataFrame) -> DataFrame:
     # without support from its neighbours a word must be a far rarer one than its correction
     scored = scored.where((F.col("context") > 0) | (F.col("m") >= F.col("n") * 10 * RATIO))
     best = scored.groupBy("word", "before", "after").agg(F.max(F.struct("context", (-F.col("cost")).alias("c"), "m", "better")).alias("b"))
-    best = best.select("word", "before", "after", F.col("b.better").alias("better"))
-    return seen.join(best, ["word", "before", "after"]).select(key, "pos", "word", "better")
+    best = best.select("word", "before", "after", F.col("b.better").alias("own"), F.col("b.context").alias("context"))
+    judged = durable(seen.join(best, ["word", "before", "after"], "left"))
+    votes = judged.where("own is not null").groupBy(key, "word", "own").agg(F.sum("context").alias("c"))
+    near = votes.groupBy(key, "word").agg(F.max_by("own", F.struct("c", "own")).alias("near"))
+    return judged.join(near, [key, "word"]).select(key, "pos", "word", F.coalesce("own", "near").alias("better"))
 
 
 def _bigrams(df: DataFrame, text: str, want: DataFrame) -> DataFrame:

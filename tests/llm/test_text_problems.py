@@ -222,4 +222,12 @@ def test_context_of_all_occurrences(spark):
     df = frame(spark, [(i, clean) for i in range(40)] + [(100, late), (101, late.replace("Qualm", "Zonk"))])
     assert sorted(r.id for r in scans.damaged(df, "id", "t").collect()) == [100, 101]
     got = {r.id: r.mended for r in scans.mended(df, "id", "t").collect()}
-    assert got[100] == late.replace("stranger bumed", "stranger burned")  # each place is judged by itself
+    assert got[100] == late.replace("bumed", "burned")  # a place that tells nothing follows the others
+
+
+def test_each_place_by_itself(spark):
+    base = "He burned the wrong letter there. We saw the modem lamp again. A modern house stood there."
+    both = "We saw the modem lamp again. A modem house stood there."
+    df = frame(spark, [(i, base) for i in range(60)] + [(100, both)])
+    got = {r.id: r.mended for r in scans.mended(df, "id", "t").collect()}
+    assert 100 not in got or got[100].startswith("We saw the modem lamp")
