@@ -193,16 +193,31 @@ def test_background_over_all_documents(spark):
     subj = spark.createDataFrame([("law",), ("sport",)], "subject string")
     items = spark.createDataFrame([(f"zork{chr(97 + k)} zork{chr(97 + k)} zork{chr(97 + k)}.",) for k in range(20)], "text string")
     few, all_ = (subjects.learn(spark.createDataFrame(d, "doc_id long, text string, lang string"), lab, subj, items, max_docs=n) for d, n in ((labelled, 40), (labelled + plain, 40)))
-    assert few.saved["en"][0]["harbour"][1] > 0.2 > 0 > all_.saved["en"][0]["harbour"][1]
-    assert all_.saved["en"][0]["court"][0] > few.saved["en"][0]["court"][0]
+    nats = lambda m, w, j: float(m.uni[0][m.words.index(w), j])
+    assert nats(few, "harbour", 1) > 0.2 > 0 > nats(all_, "harbour", 1)
+    assert nats(all_, "court", 0) > nats(few, "court", 0)
     docs = spark.createDataFrame(labelled + plain, "doc_id long, text string, lang string")
-    known = subjects.Models(["law", "sport"])
-    known.add("en", "law", ["the", "harbour", "court"])
-    got = subjects.background(docs, "text", all_, known)["en"]
-    ws = [[w for s in subjects.split(t) for w in subjects.tokens(s)] for _, t, _ in labelled + plain]
-    assert got.total == sum(map(len, ws)) and got.size == len({w for x in ws for w in x})
-    assert got.uni == {w: n for w in ("the", "harbour", "court") if (n := sum(x.count(w) for x in ws))}
-    assert all(f"zork{chr(97 + k)}" in all_.saved["en"][0] for k in range(20))
+    got = subjects.background(docs, "text", all_)
+    ws = [[w.lower() for x in subjects.sentence_words(t) for w in x] for _, t, _ in labelled + plain]
+    assert got.total == [sum(map(len, ws))] and got.size == [len({w for x in ws for w in x})]
+    assert {w: int(got.uni[0][all_.words.index(w)]) for w in ("the", "harbour", "court")} == {w: sum(x.count(w) for x in ws) for w in ("the", "harbour", "court")}
+    x, y = all_.words.index("the"), all_.words.index("harbour")
+    k = all_.pairs[0].tolist().index(x * len(all_.words) + y)
+    assert got.bi[0][k] == sum(list(zip(s, s[1:])).count(("the", "harbour")) for _, t, _ in labelled + plain for s in [[w.lower() for w in q] for q in subjects.sentence_words(t)])
+    assert all(all_.known[0][all_.words.index(f"zork{chr(97 + k)}")] for k in range(20))
+
+
+def test_a_threshold_for_each_subject():
+    import numpy as np
+
+    e = subjects.Encoded([[["a"]]] * 60, subjects._Numbers({"a": 0}))
+    score = np.zeros((60, 3))
+    score[:30, 0], score[30:, 1] = 0.25, 0.05
+    score[:10, 0] = 0.04  # weak and not labelled: the first subject needs more than the second
+    may = np.zeros((60, 2), bool)
+    may[10:30, 0], may[30:, 1] = True, True
+    t = subjects._calibrate(score, e, may, 2)
+    assert t[0] >= 0.06 > t[1]
 
 
 def test_counts_of_characters(spark):
