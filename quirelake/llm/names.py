@@ -7,9 +7,11 @@ a key are compared by optimal assignment of their tokens, which permits initials
 one edit in all. Names with a single telling token (a surname or first name alone, also with title or
 initial) are linked afterwards, and only if all full names they fit mean one and the same.
 
-Everything is a join on (group, key): no group is collected. Components are found by minimum-label propagation with
+Spellings that read alike (case, titles, order) are one form, and forms are compared, not spellings. Everything is a join on (group, key):
+no group is collected. Components are found by minimum-label propagation with
 checkpoints. Null, blank and placeholder names ('Narrator', 'Unknown') name nobody; repeated rows count
-once; a name that fits two different people is linked to neither.
+once; a name that fits two different people is linked to neither. Single tokens that fit no full name are compared with each other in the
+same way.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable, spread
+from ..session import durable, release, spread
 from . import encoding
+from .index import delete_hashes
 from .textform import fold_str
 
 # Forms of address, stripped from a name.
@@ -132,22 +134,45 @@ def token_cost(x: tuple[str, bool], y: tuple[str, bool]) -> float:
 
 
 def assign(a: tuple, b: tuple) -> tuple[float, int]:
-    """(cost, whole tokens matched) of the cheapest assignment of the shorter name's tokens to the longer one's."""
+    """(cost, whole tokens matched) of the cheapest assignment of the shorter name's tokens to the longer one's.
+
+    Shortest augmenting paths, so names of any length are assigned optimally; of equal costs the one with more whole tokens.
+    """
     if len(a) > len(b):
         a, b = b, a
-    best = (99.0, 0)
-    for order in permutations(range(len(b)), len(a)) if len(b) <= 6 else [tuple(range(len(a)))]:
-        cost, whole = 0.0, 0
-        for x, j in zip(a, order):
-            c = token_cost(x, b[j])
-            cost += c
-            whole += c < 9 and len(x[0]) > 1 and len(b[j][0]) > 1 and not (x[1] and len(x[0]) == 1)
-            if cost > best[0]:
-                break
-        else:
-            cost += sum(0.1 if b[j][1] and len(b[j][0]) == 1 or b[j][0] in FORMS else 9.0 for j in range(len(b)) if j not in order)
-            best = min(best, (cost, -whole))
-    return best[0], -best[1]
+    pair = [[token_cost(x, y) for y in b] for x in a]
+    if any(min(r) >= 9 for r in pair):
+        return 99.0, 0
+    whole = [[len(x[0]) > 1 and len(y[0]) > 1 and c < 9 for y, c in zip(b, r)] for x, r in zip(a, pair)]
+    left = [0.1 if y[1] and len(y[0]) == 1 or y[0] in FORMS else 9.0 for y in b]  # of a token without partner
+    cost = [[c - p - 1e-6 * w for c, p, w in zip(r, left, v)] for r, v in zip(pair, whole)]
+    n, m, inf = len(a), len(b), float("inf")
+    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        least, way, used = [inf] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while match[j0]:
+            used[j0] = True
+            row, step, j1 = match[j0], inf, 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    c = cost[row - 1][j - 1] - u[row] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, j0
+                    if least[j] < step:
+                        step, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[match[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            j0 = j1
+        while j0:
+            match[j0] = match[way[j0]]
+            j0 = way[j0]
+    total = sum(pair[match[j] - 1][j - 1] if match[j] else left[j - 1] for j in range(1, m + 1))
+    return total, sum(whole[match[j] - 1][j - 1] for j in range(1, m + 1) if match[j])
 
 
 def same(x: str, y: str) -> bool:
@@ -188,8 +213,9 @@ def kind(name: str) -> str:
     return "full" if len(telling) >= 2 else "part" if telling else ""
 
 
-def _deletes(t: str) -> set[str]:
-    return {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))} if 3 <= len(t) <= 40 else {t}
+@lru_cache(200_000)
+def _deletes(t: str) -> frozenset[str]:
+    return frozenset(map(str, delete_hashes(t).tolist())) if len(t) >= 3 else frozenset({t})
 
 
 def _initials(t: str) -> set[str]:
@@ -203,7 +229,7 @@ def keys(name: str) -> list[str]:
     for order in {tokens, tokens[::-1]}:
         joined = "".join(t for t, _ in order)
         if len(joined) >= 4:
-            out |= {"*" + d for d in (_deletes(joined) if _run_together(name) or _EAST.search(name) else {joined})}
+            out |= {"*" + d for d in _deletes(joined)}
     if not _EAST.search(name):
         whole = [(t, s) for t, s in tokens if len(t) > 1]
         for i, (t, short) in enumerate(whole):
@@ -265,30 +291,77 @@ def _fits(part: str, full: str) -> bool:
     return True
 
 
+def lone_keys(name: str) -> list[str]:
+    """Keys under which single tokens without a full name meet: the tokens, their full forms, one edit of a long one."""
+    out: set[str] = set()
+    for t, _ in parse(name)[0]:
+        if len(t) > 1:
+            out |= {t, *_FULL_OF.get(t, ())}
+            if len(t) >= LONE:
+                out |= {"~" + d for d in _deletes(t)}
+    return sorted(out)
+
+
+#: Length from which single tokens that differ by one edit count as one name.
+LONE = 6
+
+
+def alike(x: str, y: str) -> int:
+    """2 if two names with one telling token are the same but for form, 1 if one is a short form of the other or one edit apart, else 0."""
+    a, b = (sorted(t for t, _ in parse(n)[0] if len(t) > 1) for n in (x, y))
+    if a == b:
+        return 2
+    if len(a) != 1 or len(b) != 1:
+        return 0
+    if a[0] in _FULL_OF.get(b[0], ()) or b[0] in _FULL_OF.get(a[0], ()):
+        return 1
+    return int(min(len(a[0]), len(b[0])) >= LONE and a[0][0] == b[0][0] and one_edit(a[0], b[0]))
+
+
+def _form(clean: str) -> str:
+    """What decides with whom a spelling is linked: its tokens, and the traits of the spelling that the comparisons look at."""
+    return repr((parse(clean)[0], _run_together(clean), bool(_EAST.search(clean)), bool(re.match(r"\s*M\.\s*\w", clean))))
+
+
 def _components(links: DataFrame) -> DataFrame:
     """(g, name, root): connected components of (g, a, b) links by minimum labels and pointer jumping."""
     both = durable(links.select("g", "a", "b").unionByName(links.select("g", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = both.groupBy("g", F.col("a").alias("name")).agg(F.min("b").alias("m")).select("g", "name", F.least("name", "m").alias("root"))
-    label = durable(label)
+    label = durable(both.groupBy("g", F.col("a").alias("name")).agg(F.min("b").alias("m")).select("g", "name", F.least("name", "m").alias("root")))
     while True:
         near = both.join(label.select("g", F.col("name").alias("b"), F.col("root").alias("r")), ["g", "b"]).groupBy("g", F.col("a").alias("name")).agg(F.min("r").alias("r"))
-        step = label.join(near, ["g", "name"]).select("g", "name", F.least("root", "r").alias("root"), "root", F.col("root").alias("old")).toDF("g", "name", "new", "x", "old").drop("x")
+        step = label.join(near, ["g", "name"]).select("g", "name", F.least("root", "r").alias("new"), F.col("root").alias("old"))
         up = step.select("g", F.col("name").alias("new"), F.col("new").alias("up"))
         step = step.join(up, ["g", "new"], "left").select("g", "name", F.least(F.col("new"), F.coalesce("up", "new")).alias("root"), "old")
         step = durable(step)
+        done = step.where("root <> old").isEmpty()
+        release(label)
         label = step.drop("old")
-        if step.where("root <> old").isEmpty():
+        if done:
+            release(both)
             return label
 
 
-def variant_pairs(names: DataFrame, group: str, name: str, model: encoding.Plausibility | None = None) -> DataFrame:
-    """(group, name_a, name_b), name_a < name_b by code points: pairs of spellings of one group that mean the same."""
+def _unambiguous(links: DataFrame, free: DataFrame) -> DataFrame:
+    """(g, form, root) of single tokens: those alike but for form are one; of the rest only tokens whose near ones are all one are linked."""
+    roots = _components(links.where("sure = 2").select("g", "a", "b"))
+    roots = durable(free.join(roots.withColumnRenamed("name", "form"), ["g", "form"], "left").select("g", "form", F.coalesce("root", "form").alias("root")))
+    x, y = roots.toDF("g", "a", "ra"), roots.toDF("g", "b", "rb")
+    near = links.where("sure = 1").join(x, ["g", "a"]).join(y, ["g", "b"]).where("ra <> rb").select("g", "ra", "rb")
+    near = near.unionByName(near.select("g", F.col("rb").alias("ra"), F.col("ra").alias("rb"))).distinct()
+    one = near.groupBy("g", "ra").agg(F.min("rb").alias("rb"), F.count("*").alias("n")).where("n = 1").drop("n")
+    # both must be each other's only near one, so no chain is formed
+    pairs = one.join(one.select("g", F.col("ra").alias("rb"), F.col("rb").alias("ra")), ["g", "ra", "rb"]).select("g", F.col("ra").alias("root"), F.least("ra", "rb").alias("to"))
+    return roots.join(pairs, ["g", "root"], "left").select("g", "form", F.coalesce("to", "root").alias("root"))
+
+
+def variant_classes(names: DataFrame, group: str, name: str, model: encoding.Plausibility | None = None) -> DataFrame:
+    """(group, name, class_id, spellings): the class of each distinct spelling that names someone, and how many spellings it has."""
     spark = names.sparkSession
     gk = names.schema[group].dataType.simpleString()
     base = names.select(F.col(group).alias("g"), F.col(name).alias("name")).where(F.col(group).isNotNull() & F.col(name).isNotNull()).distinct()
     shared = spark.sparkContext.broadcast(model.pairs if model else None)
 
-    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, memo = encoding.Plausibility(shared.value) if shared.value else None, {}
         for b in batches:
             rows = []
@@ -296,50 +369,63 @@ def variant_pairs(names: DataFrame, group: str, name: str, model: encoding.Plaus
                 clean = encoding.repair(n, own, memo)[0] if own else n
                 k = kind(clean) if n.strip().casefold() not in PLACEHOLDERS else ""
                 if k:
-                    rows.append((g, n, clean, k, keys(clean) if k == "full" else [], part_keys(clean, k == "full")))
-            yield pd.DataFrame(rows, columns=["g", "name", "clean", "kind", "keys", "part_keys"])
+                    rows.append((g, n, clean, k, _form(clean)))
+            yield pd.DataFrame(rows, columns=["g", "name", "clean", "kind", "form"])
+
+    spelled = spread(base, "g", "name").mapInPandas(read, f"g {gk}, name string, clean string, kind string, form string")
+    spelled = durable(spelled.withColumn("form", F.xxhash64("g", "kind", "form")))
+    forms = spelled.groupBy("g", "form", "kind").agg(F.min("clean").alias("clean"))
+
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for g, f, k, c in zip(b["g"], b["form"], b["kind"], b["clean"]):
+                rows.append((g, f, k, c, keys(c) if k == "full" else [], part_keys(c, k == "full"), lone_keys(c) if k == "part" else []))
+            yield pd.DataFrame(rows, columns=["g", "form", "kind", "clean", "keys", "part_keys", "lone_keys"])
 
-    filed = spread(base, "g", "name").mapInPandas(file, f"g {gk}, name string, clean string, kind string, keys array<string>, part_keys array<string>")
     # the index holds two hashes a row; whoever meets by a collision fails the test on the names themselves
-    filed = durable(filed.withColumn("id", F.xxhash64("g", "name")))
-    who = filed.select("id", "g", "name", "clean")
+    filed = durable(forms.select("g", "form", "kind", "clean").mapInPandas(file, f"g {gk}, form long, kind string, clean string, keys array<string>, part_keys array<string>, lone_keys array<string>"))
+    who = filed.select("g", "form", "clean")
 
-    def index(kinds: str, keys: str) -> DataFrame:
-        rows = filed.where(kinds).select("id", "g", F.explode(keys).alias("k"))
-        return rows.select("id", F.xxhash64("g", "k").alias("h"))
+    def index(rows: DataFrame, keys: str) -> DataFrame:
+        rows = rows.select("g", "form", F.explode(keys).alias("k"))
+        return rows.select("form", F.xxhash64("g", "k").alias("h"))
 
     def met(pairs: DataFrame, test) -> DataFrame:
-        """(g, a, b, sure) of the pairs of ids whose names pass the test."""
+        """(g, a, b, sure) of the pairs of forms whose names pass the test."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 b["sure"] = [int(test(x, y)) for x, y in zip(b["ca"], b["cb"])]
                 yield b[b["sure"] > 0][["g", "a", "b", "sure"]]
 
-        a = who.select(F.col("id").alias("x"), "g", F.col("name").alias("a"), F.col("clean").alias("ca"))
-        b = who.select(F.col("id").alias("y"), F.col("g").alias("g2"), F.col("name").alias("b"), F.col("clean").alias("cb"))
-        named = pairs.join(a, "x").join(b, "y").where("g = g2").select("g", "a", "b", "ca", "cb")
-        return named.mapInPandas(run, f"g {gk}, a string, b string, sure int")
-
-    full = filed.where("kind = 'full'")
-    lone = filed.where("kind = 'part'")
-    fx = index("kind = 'full'", "keys")
-    pairs = fx.withColumnRenamed("id", "x").join(fx.withColumnRenamed("id", "y"), "h").where("x < y").select("x", "y").distinct()
-    links = met(pairs, lambda x, y: same(x, y))
-    roots = _components(links)
-    roots = full.select("g", "name").join(roots, ["g", "name"], "left").select("g", "name", F.coalesce("root", "name").alias("root"))
-    roots = durable(roots)
+        a = who.select(F.col("form").alias("a"), "g", F.col("clean").alias("ca"))
+        b = who.select(F.col("form").alias("b"), F.col("g").alias("g2"), F.col("clean").alias("cb"))
+        return pairs.join(a, "a").join(b, "b").where("g = g2").select("g", "a", "b", "ca", "cb").mapInPandas(run, f"g {gk}, a long, b long, sure int")
+
+    def within(rows: DataFrame, keys: str) -> DataFrame:
+        x = index(rows, keys)
+        return x.withColumnRenamed("form", "a").join(x.withColumnRenamed("form", "b"), "h").where("a < b").select("a", "b").distinct()
+
+    full, lone = filed.where("kind = 'full'"), filed.where("kind = 'part'")
+    roots = _components(met(within(full, "keys"), lambda x, y: same(x, y)))
+    roots = durable(full.select("g", "form").join(roots.withColumnRenamed("name", "form"), ["g", "form"], "left").select("g", "form", F.coalesce("root", "form").alias("root")))
     # single tokens: all full names they fit must be of one root
-    px, py = index("kind = 'part'", "part_keys"), index("kind = 'full'", "part_keys")
-    pairs = px.withColumnRenamed("id", "x").join(py.withColumnRenamed("id", "y"), "h").select("x", "y").distinct()
-    fit = met(pairs, lambda x, y: fits(x, y)).join(roots.select("g", F.col("name").alias("b"), "root"), ["g", "b"])
+    pairs = index(lone, "part_keys").withColumnRenamed("form", "a").join(index(full, "part_keys").withColumnRenamed("form", "b"), "h").select("a", "b").distinct()
+    fit = met(pairs, lambda x, y: fits(x, y)).join(roots.select("g", F.col("form").alias("b"), "root"), ["g", "b"])
     fit = fit.groupBy("g", "a", "sure").agg(F.min("root").alias("root"), F.max("root").alias("other"))
-    fit = fit.groupBy("g", "a").agg(F.max(F.struct("sure", "root", "other")).alias("x")).select("g", "a", "x.root", "x.other")
-    placed = fit.where("root = other").select("g", F.col("a").alias("name"), "root")
-    # single tokens that fit no full name are compared with each other
-    free = lone.join(fit.select("g", F.col("a").alias("name")), ["g", "name"], "left_anti")
-    form = F.udf(lambda s: " ".join(sorted(t for t, _ in parse(s)[0])), "string")
-    alone = free.select("g", "name", F.concat(F.lit("\x00"), form("clean")).alias("root"))
-    member = durable(roots.unionByName(placed).unionByName(alone))
-    x, y = member.select("g", "root", F.col("name").alias("name_a")), member.select("g", "root", F.col("name").alias("name_b"))
-    return x.join(y, ["g", "root"]).where("name_a < name_b").select(F.col("g").alias(group), "name_a", "name_b")
+    fit = durable(fit.groupBy("g", "a").agg(F.max(F.struct("sure", "root", "other")).alias("x")).select("g", F.col("a").alias("form"), "x.root", "x.other"))
+    placed = fit.where("root = other").select("g", "form", "root")
+    free = durable(lone.join(fit.select("g", "form"), ["g", "form"], "left_anti"))
+    links = durable(met(within(free, "lone_keys"), lambda x, y: alike(x, y)))
+    alone = _unambiguous(links, free.select("g", "form"))
+    member = durable(spelled.select("g", "form", "name").join(roots.unionByName(placed).unionByName(alone), ["g", "form"]).select("g", "name", "root"))
+    size = member.groupBy("g", "root").agg(F.count("*").alias("spellings"))
+    return member.join(size, ["g", "root"]).select(F.col("g").alias(group), "name", F.col("root").alias("class_id"), "spellings")
+
+
+def variant_pairs(names: DataFrame, group: str, name: str, model: encoding.Plausibility | None = None) -> DataFrame:
+    """(group, name_a, name_b), name_a < name_b by code points: pairs of spellings of one class."""
+    member = variant_classes(names, group, name, model).where("spellings > 1").select(group, "class_id", "name")
+    x, y = member.withColumnRenamed("name", "name_a"), member.withColumnRenamed("name", "name_b")
+    return x.join(y, [group, "class_id"]).where("name_a < name_b").select(group, "name_a", "name_b")

@@ -86,12 +86,22 @@ def p4_books(spark: SparkSession, sf: str) -> DataFrame:
     return _p4_books(_p4_passages(spark, sf))
 
 
-def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+def _p5(spark: SparkSession, sf: str) -> tuple[DataFrame, encoding.Plausibility]:
     cast = table(spark, sf, "characters", "book_id", "name")
     said = table(spark, sf, "speaker_annotations", "book_id", F.col("speaker_name").alias("name"))
     chapters = spread(table(spark, sf, "chapters", *_CHAPTERS), "id")
-    model = encoding.learn((chapters, "content"), (cast, "name"))
-    return names.variant_pairs(cast.unionByName(said), "book_id", "name", model)
+    return cast.unionByName(said), encoding.learn((chapters, "content"), (cast, "name"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    names_, model = _p5(spark, sf)
+    return names.variant_pairs(names_, "book_id", "name", model)
+
+
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every spelling with the class of the person or organisation it names: the same links without all pairs."""
+    names_, model = _p5(spark, sf)
+    return names.variant_classes(names_, "book_id", "name", model)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
+from .index import delete_hashes
 
 # What a scanner takes for what; digraphs first, then single characters.
 DIGRAPHS = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("VV", "W"))
@@ -152,22 +153,8 @@ def canonical(word: str) -> str:
     return word
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
 def deletes(word: str) -> np.ndarray:
-    """Hashes of the unified form of a word and of all forms with one character deleted, in time in proportion to its length."""
-    c = np.frombuffer(canonical(word).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(7)
-    n = len(c)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)])
-        before = np.r_[np.uint64(0), np.cumsum(c * power[:n])]  # of the first i characters
-        whole = before[n]
-        # behind a deleted character every power is one less
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        less = before[:n] + (whole - before[1:]) * inverse
-        out = np.unique(np.r_[whole, less] * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.r_[np.uint64(n), np.full(n, np.uint64(n - 1))])
-    return out.view(np.int64)
+    return delete_hashes(canonical(word))
 
 
 def distance(a: str, b: str, most: float = MOST) -> float:
