@@ -23,3 +23,16 @@ def delete_hashes(word: str) -> np.ndarray:
         less = before[:n] + (before[n] - before[1:]) * _INVERSE
         length = np.r_[np.uint64(n), np.full(n, np.uint64(max(n, 1) - 1))]
         return np.unique(np.r_[before[n], less] * np.uint64(0xC2B2AE3D27D4EB4F) ^ length).view(np.int64)
+
+
+def deletes(word: str) -> list[str]:
+    """A word and all forms with one character deleted, as keys.
+
+    Forms of long words are filed by their hashes, as their characters would take space in proportion to the square of the length;
+    words of the two lengths at the border are filed both ways, so no pair that differs by one deletion in either or both is missed.
+    """
+    out = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) <= BORDER + 1 else set()
+    return sorted(out.union(f"#{h}" for h in delete_hashes(word).tolist()) if len(word) >= BORDER else out)
+
+
+BORDER = 64

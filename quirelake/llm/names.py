@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable, release, spread
 from . import encoding
-from .index import delete_hashes
+from .index import deletes
 from .textform import fold_str
 
 # Forms of address, stripped from a name.
@@ -215,7 +215,7 @@ def kind(name: str) -> str:
 
 @lru_cache(200_000)
 def _deletes(t: str) -> frozenset[str]:
-    return frozenset(map(str, delete_hashes(t).tolist())) if len(t) >= 3 else frozenset({t})
+    return frozenset(deletes(t) if len(t) >= 3 else [t])
 
 
 def _initials(t: str) -> set[str]:
@@ -355,7 +355,7 @@ def _unambiguous(links: DataFrame, free: DataFrame) -> DataFrame:
 
 
 def variant_classes(names: DataFrame, group: str, name: str, model: encoding.Plausibility | None = None) -> DataFrame:
-    """(group, name, class_id, spellings): the class of each distinct spelling that names someone, and how many spellings it has."""
+    """(group, ``name``, class_id, spellings): the class of each distinct spelling that names someone, and how many spellings it has."""
     spark = names.sparkSession
     gk = names.schema[group].dataType.simpleString()
     base = names.select(F.col(group).alias("g"), F.col(name).alias("name")).where(F.col(group).isNotNull() & F.col(name).isNotNull()).distinct()
@@ -384,7 +384,7 @@ def variant_classes(names: DataFrame, group: str, name: str, model: encoding.Pla
             yield pd.DataFrame(rows, columns=["g", "form", "kind", "clean", "keys", "part_keys", "lone_keys"])
 
     # the index holds two hashes a row; whoever meets by a collision fails the test on the names themselves
-    filed = durable(forms.select("g", "form", "kind", "clean").mapInPandas(file, f"g {gk}, form long, kind string, clean string, keys array<string>, part_keys array<string>, lone_keys array<string>"))
+    filed = durable(spread(forms.select("g", "form", "kind", "clean"), "g", "form").mapInPandas(file, f"g {gk}, form long, kind string, clean string, keys array<string>, part_keys array<string>, lone_keys array<string>"))
     who = filed.select("g", "form", "clean")
 
     def index(rows: DataFrame, keys: str) -> DataFrame:
@@ -421,11 +421,11 @@ def variant_classes(names: DataFrame, group: str, name: str, model: encoding.Pla
     alone = _unambiguous(links, free.select("g", "form"))
     member = durable(spelled.select("g", "form", "name").join(roots.unionByName(placed).unionByName(alone), ["g", "form"]).select("g", "name", "root"))
     size = member.groupBy("g", "root").agg(F.count("*").alias("spellings"))
-    return member.join(size, ["g", "root"]).select(F.col("g").alias(group), "name", F.col("root").alias("class_id"), "spellings")
+    return member.join(size, ["g", "root"]).select(F.col("g").alias(group), F.col("name").alias(name), F.col("root").alias("class_id"), "spellings")
 
 
 def variant_pairs(names: DataFrame, group: str, name: str, model: encoding.Plausibility | None = None) -> DataFrame:
     """(group, name_a, name_b), name_a < name_b by code points: pairs of spellings of one class."""
-    member = variant_classes(names, group, name, model).where("spellings > 1").select(group, "class_id", "name")
-    x, y = member.withColumnRenamed("name", "name_a"), member.withColumnRenamed("name", "name_b")
+    member = variant_classes(names, group, name, model).where("spellings > 1").select(group, "class_id", name)
+    x, y = member.withColumnRenamed(name, "name_a"), member.withColumnRenamed(name, "name_b")
     return x.join(y, [group, "class_id"]).where("name_a < name_b").select(group, "name_a", "name_b")

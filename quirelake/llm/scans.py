@@ -27,8 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
-from .index import delete_hashes
+from ..session import durable, spread
+from .index import deletes
 
 # What a scanner takes for what; digraphs first, then single characters.
 DIGRAPHS = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("VV", "W"))
@@ -153,10 +153,6 @@ def canonical(word: str) -> str:
     return word
 
 
-def deletes(word: str) -> np.ndarray:
-    return delete_hashes(canonical(word))
-
-
 def distance(a: str, b: str, most: float = MOST) -> float:
     """Weighted edit distance: confusion pairs and digraphs are cheap. Within ``most`` no more than two edits fit, so a band of five suffices."""
     inf = most + 9
@@ -190,13 +186,11 @@ def corrections(lex: DataFrame) -> DataFrame:
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[~b["word"].str.isdigit()]
-            hashes = [deletes(w) for w in b["word"]]
-            many = [len(h) for h in hashes]
-            yield pd.DataFrame({"word": np.repeat(b["word"].to_numpy(), many), "n": np.repeat(b["n"].to_numpy(), many), "h": np.concatenate([np.zeros(0, np.int64), *hashes])})
+            rows = [(w, n, k) for w, n in zip(b["word"], b["n"]) if not w.isdigit() for k in deletes(canonical(w))]
+            yield pd.DataFrame(rows, columns=["word", "n", "k"])
 
-    keyed = lex.where(F.length("word") >= 3).mapInPandas(file, "word string, n long, h long")
-    keyed = durable(keyed.withColumn("band", F.length(F.col("n").cast("string"))))
+    keyed = spread(lex.where(F.length("word") >= 3), "word").mapInPandas(file, "word string, n long, k string")
+    keyed = durable(keyed.select("word", "n", F.xxhash64("k").alias("h"), F.length(F.col("n").cast("string")).alias("band")))
     right = keyed.where((F.col("n") >= LEAST) & (F.col("band") > 1)).select(F.col("word").alias("better"), F.col("n").alias("m"), "h", F.explode(F.sequence(F.lit(1), F.col("band") - 1)).alias("band"))
     pairs = keyed.join(right, ["h", "band"]).where(F.col("m") >= F.col("n") * RATIO).where("word <> better").select("word", "n", "better", "m").distinct()
 
