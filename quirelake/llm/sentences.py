@@ -195,6 +195,7 @@ def starts(text: str | None) -> list[int]:
     at = _skip(text, 0)  # the start of the running sentence
     quote_at = seen_to = 0  # words before the open quotation are looked for once, up to seen_to
     told = False
+    opens = _OPEN  # what opens a quotation in this text
     n = len(text)
     if at >= n:
         return out
@@ -212,7 +213,7 @@ def starts(text: str | None) -> list[int]:
     for m in pattern.finditer(text):
         a, b = m.span()
         if b <= at and not stack:
-            if text[a] not in _OPEN or a < at:
+            if text[a] not in opens or a < at:
                 continue
         c = text[a]
         if c in "\n\r\x0b\x0c\x85  ":
@@ -236,7 +237,7 @@ def starts(text: str | None) -> list[int]:
                     noted.append(b)
             continue
         top = stack[-1] if stack else ""
-        closes = bool(top) and (c == _OPEN[top] or c == "”" and top in "„“”" or top in "»›" and c in "«‹")
+        closes = bool(top) and (c == opens[top] or c == "”" and top in "„“”" or top in "»›" and c in "«‹")
         if c == "’" and not closes:
             continue
         if c == "’" and b < n and text[b].isalnum() and text[b - 2 : b - 1].isalnum():
@@ -248,11 +249,11 @@ def starts(text: str | None) -> list[int]:
                 continue
             if not stack:
                 quote_at, noted = a, []
-            if c in _OPEN:
+            if c in opens:
                 stack.append(c)
             elif b < n and text[b].isalnum():
                 stack.append({"”": "“", "»": "»", "›": "›"}.get(c, "“"))
-                _OPEN.setdefault("»", "«"), _OPEN.setdefault("›", "‹")
+                opens = {**opens, "»": "«", "›": "‹"}
             continue
         stack.pop()
         if c in ")]）】" and not stack:
