@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +34,22 @@ def squeeze(text: Column | str) -> Column:
     return strip(F.regexp_replace(_c(text), f"[{P.BLANKS}]+", " "))
 
 
-def normalise(text: Column | str) -> Column:
-    """Line ends, no-break spaces, invisible and control characters; composition is left to a batch function."""
-    out = F.regexp_replace(F.coalesce(_c(text), F.lit("")), "\r\n?", "\n")
+def composed(text: Column | str) -> Column:
+    """The NFKC form; texts of ASCII never reach the batch function."""
+
+    def form(it):
+        for s in it:
+            yield s.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None else None)
+
+    s = _c(text)
+    made = F.pandas_udf("string", F.PandasUDFType.SCALAR_ITER)(form)
+    return F.coalesce(made(F.when(~s.rlike("^\\p{ASCII}*$"), s)), s)
+
+
+def normalise(text: Column | str, compose: bool = True) -> Column:
+    """NFKC, line ends, no-break spaces, invisible and control characters."""
+    out = F.coalesce(_c(text), F.lit(""))
+    out = F.regexp_replace(composed(out) if compose else out, "\r\n?", "\n")
     out = F.translate(out, "\xa0​﻿�", " ")
     return F.regexp_replace(out, P.CONTROL, " ")
 
@@ -54,7 +69,7 @@ def is_caps_heading(line: Column | str) -> Column:
     s = strip(F.coalesce(_c(line), F.lit("")))
     return (
         (F.length(s) > 3) & (F.length(s) < 80) & (F.upper(s) == s) & (F.lower(s) != s) & ~s.endswith(":")
-        & ~s.rlike("(?i)^[IVXLCDM]+\\.?$") & ~s.rlike("^(?:[A-Z]\\.\\s*)+[A-Z]\\.?$") & s.rlike("[A-ZÁÉÍÓÖŐÚÜŰ]{2,}")
+        & ~s.rlike(P.ROMAN) & ~s.rlike(P.INITIALS_LINE) & s.rlike(P.CAPITALS)
     )
 
 
@@ -73,7 +88,7 @@ def with_language(df: DataFrame, text: str, out: str = "lang", default: str = "e
     The words are taken out once, as a column of their own.
     """
     df = df.withColumn("_s", F.lower(F.substring(F.coalesce(_c(text), F.lit("")), 1, 100_000)))
-    df = df.withColumn("_w", F.regexp_extract_all("_s", F.lit(r"([\p{L}\p{M}]+)"), 1))
+    df = df.withColumn("_w", F.regexp_extract_all("_s", F.lit(r"([\p{L}\p{Nl}\p{No}]+)"), 1))
     twice = F.length("_s") - F.length(F.translate("_s", "őű", ""))
     df = df.withColumn("hu", F.size(F.filter("_w", lambda w: w.isin(P.HUNGARIAN))) + 2 * twice).withColumn("en", F.size(F.filter("_w", lambda w: w.isin(P.ENGLISH))))
     return df.withColumn(out, F.when((F.col("hu") >= 5) & (F.col("hu") > F.col("en") * 1.2), "hu").otherwise(default)).drop("_s", "_w")
@@ -193,7 +208,7 @@ def ass_colour(rgb: Column | str) -> Column:
 
 
 def safe_name(name: Column | str) -> Column:
-    s = F.regexp_replace(F.regexp_replace(F.coalesce(_c(name), F.lit("")), "(?U)[^\\w\\s-]", ""), f"^[{P.BLANKS}]+|[{P.BLANKS}]+$", "")
+    s = F.regexp_replace(F.regexp_replace(F.coalesce(_c(name), F.lit("")), f"[^\\p{{L}}\\p{{N}}_{P.BLANKS}-]", ""), f"^[{P.BLANKS}]+|[{P.BLANKS}]+$", "")
     s = F.substring(F.regexp_replace(s, f"[{P.BLANKS}]+", "_"), 1, 80)
     return F.when(s == "", "export").otherwise(s)
 
@@ -350,5 +365,217 @@ def number_range(selection: Column | str, n: Column | str) -> Column:
     return F.when(whole, F.sequence(F.lit(1), _c(n))).when(good, F.array_sort(F.array_distinct(nums)))
 
 
-def any_of(columns) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+# ---------------------------------------------------------------- small arithmetic on rows
+
+
+def eta_text(seconds: Column | str) -> Column:
+    """'45s', '3m 05s', '2h 07m'; '' where nothing is known. Halves round to the even second."""
+    s = F.bround(_c(seconds), 0).cast("long")
+    m = F.floor(s / 60)
+    return (
+        F.when(_c(seconds).isNull() | F.isnan(_c(seconds).cast("double")) | (_c(seconds) < 0), "")
+        .when(s < 60, F.format_string("%ds", s))
+        .when(m < 60, F.format_string("%dm %02ds", m, s % 60))
+        .otherwise(F.format_string("%dh %02dm", F.floor(m / 60), m % 60))
+    )
+
+
+def progress_percent(index: Column | str, n: Column | str) -> Column:
+    """How far through a chapter a segment is; null for a chapter without segments."""
+    return F.when(_c(n) > 0, _c(index) / _c(n) * 100)
+
+
+def clamped_index(value: Column | str, n: Column | str) -> Column:
+    """The number a text begins with, within 0..n-1; 0 for none."""
+    lead = F.regexp_extract(F.coalesce(_c(value).cast("string"), F.lit("")), f"^[{P.BLANKS}]*([+-]?[0-9]+)", 1)
+    parsed = F.coalesce(lead.try_cast("decimal(38,0)"), F.lit(0))
+    return F.greatest(F.lit(0), F.least(parsed, F.greatest(F.coalesce(_c(n), F.lit(1)), F.lit(1)) - 1)).cast("long")
+
+
+def clamped(value: Column | str, low, high, default) -> Column:
+    """A setting within its bounds, the default where it is no number."""
+    v = _c(value).try_cast("double")
+    return F.when(v.isNull() | F.isnan(v), F.lit(float(default))).otherwise(F.greatest(F.lit(float(low)), F.least(v, F.lit(float(high)))))
+
+
+def one_of(value: Column | str, allowed: tuple[str, ...], default: str) -> Column:
+    v = F.lower(strip(F.coalesce(_c(value), F.lit(default))))
+    return F.when(v.isin(*allowed), v).otherwise(default)
+
+
+def nearest(value: Column | str, steps: tuple[int, ...], default: int) -> Column:
+    """The allowed step that is nearest to a number, the first of equals."""
+    v = F.coalesce(_c(value).try_cast("int"), F.lit(default))
+    return F.array_min(F.array(*[F.struct(F.abs(v - s).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(steps)]))["s"]
+
+
+# Beginnings of the names of text models, and what marks models of another kind.
+TEXT_MODELS, OTHER_MODELS = ("gpt-", "o1", "o3", "o4", "chatgpt-", "chat-"), ("audio", "realtime", "transcribe", "tts", "image", "search-preview")
+
+
+def is_text_model(name: Column | str) -> Column:
+    s = F.lower(F.coalesce(_c(name), F.lit("")))
+    return s.rlike("^(?:" + "|".join(TEXT_MODELS) + ")") & ~s.rlike("|".join(OTHER_MODELS))
+
+
+def text_models(names: Column | str) -> Column:
+    """The distinct text models of a list, in order."""
+    return F.array_sort(F.array_distinct(F.filter(_c(names), is_text_model)))
+
+
+def endpoint(base: Column | str, suffix: str) -> Column:
+    """The address of a call; a base that ends in it already stays; null for an empty base."""
+    s = F.regexp_replace(strip(F.coalesce(_c(base), F.lit(""))), "/+$", "")
+    return F.when(s == "", F.lit(None)).when(s.endswith("/" + suffix), s).otherwise(F.concat(s, F.lit("/" + suffix)))
+
+
+# The accents a voice may have, and the parts of a voice that is not described.
+ACCENTS = tuple(f"{x} accent" for x in ("american", "british", "australian", "canadian", "indian", "chinese", "korean", "japanese"))
+PLAIN_VOICE = ("female", "young adult", "moderate pitch", "american accent")
+
+
+def studio_voice(instruct: Column | str) -> Column:
+    """Gender, age, pitch and accent of a description, in this order, with defaults for what it lacks.
+
+    The first gender in the text counts; of the others the first in the order of the vocabulary.
+    """
+    tokens = F.filter(F.transform(F.split(F.coalesce(_c(instruct), F.lit("")), ","), lambda t: F.lower(strip(t))), lambda t: t != "")
+    first = F.try_element_at(F.filter(tokens, lambda t: t.isin(*GENDERS)), F.lit(1))
+    rest = [F.coalesce(*[F.when(F.array_contains(tokens, w), w) for w in words]) for words in (AGES, PITCHES, ACCENTS)]
+    return F.concat_ws(", ", *[F.coalesce(x, F.lit(d)) for x, d in zip((first, *rest), PLAIN_VOICE)])
+
+
+# Version and settings that are part of the second engine's keys, as they are written there.
+SECOND_VERSION, SECOND_CONTROLS = 6, "('raw', 'none', 'none', 'none')"
+SECOND_SAMPLING = "{'temperature': 0.8, 'top_p': 0.95, 'top_k': 50, 'max_new_tokens': 1024, 'seed': -1}"
+
+
+def second_cache_key(text, instruct, ref, speed, ref_text, lang, normalize: bool = False) -> Column:
+    """Digest of a rendering by the second engine; the speed has three decimals."""
+
+    def part(x) -> Column:
+        return F.coalesce(_c(x).cast("string"), F.lit("None"))
+
+    tail = F.lit(f"nt={int(normalize)}|{SECOND_CONTROLS}|{SECOND_SAMPLING}")
+    return F.md5(F.concat_ws("|", F.lit(f"higgs-v{SECOND_VERSION}"), part(text), part(instruct), part(ref), part(ref_text), F.format_string("%.3f", _c(speed)), F.coalesce(_c(lang), F.lit("")), tail))
+
+
+def reference_key(path, modified_ns, size, ref_text) -> Column:
+    """Digest of a reference recording: path, time and size of the file, or the path alone where there is no file."""
+    said = F.coalesce(_c(ref_text), F.lit(""))
+    known = F.concat_ws("|", _c(path), _c(modified_ns).cast("string"), _c(size).cast("string"), said)
+    return F.when(_c(path).isNotNull(), F.md5(F.when(_c(modified_ns).isNotNull() & _c(size).isNotNull(), known).otherwise(F.concat_ws("|", _c(path), said))))
+
+
+#: The mark before a reply in a worker's output; a worker with another mark names it.
+REPLY_MARK = "REPLY_JSON:"
+
+
+def first_object(text: str | None, mark: str = REPLY_MARK) -> str | None:
+    """The first JSON object behind the mark, in compact form, whatever follows it; null without mark or object."""
+    at = (text or "").find(mark)
+    if at < 0:
+        return None
+    try:
+        made, _ = json.JSONDecoder().raw_decode(text[at + len(mark) :].lstrip())
+    except ValueError:
+        return None
+    return json.dumps(made, ensure_ascii=False, separators=(",", ":")) if isinstance(made, dict) else None
+
+
+def framed_reply(text: Column | str, mark: str = REPLY_MARK) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda t: first_object(t, mark)), "string")(_c(text))
+
+
+_UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+_SCALES = ("", "thousand", "million", "billion", "trillion", "quadrillion", "quintillion")
+
+
+def spelled(n: int) -> str:
+    """An English cardinal number; numbers beyond the names of scales stay figures."""
+    if n < 20:
+        return _UNITS[n]
+    if n < 100:
+        return _TENS[n // 10 - 2] + ("-" + _UNITS[n % 10] if n % 10 else "")
+    if n < 1000:
+        return _UNITS[n // 100] + " hundred" + (" and " + spelled(n % 100) if n % 100 else "")
+    if n >= 1000 ** len(_SCALES):
+        return str(n)
+    groups, k = [], 0
+    while n:
+        if n % 1000:
+            groups.append((k, n % 1000))
+        n //= 1000
+        k += 1
+    words = [spelled(g) + (" " + _SCALES[k] if k else "") for k, g in reversed(groups)]
+    small = groups[0][0] == 0 and groups[0][1] < 100
+    return ", ".join(words[:-1]) + " and " + words[-1] if small and len(words) > 1 else ", ".join(words)
+
+
+_TAG = re.compile(r"\[[^\[\]]*\]")
+
+
+def outside_brackets(text: str, fn) -> str:
+    """The function applied to all of a text but its bracketed marks."""
+    out, at = [], 0
+    for m in _TAG.finditer(text):
+        out += [fn(text[at : m.start()]) if m.start() > at else "", m[0]]
+        at = m.end()
+    return "".join([*out, fn(text[at:]) if at < len(text) else ""])
+
+
+def numbers_spelled(text: Column | str, lang: Column | str) -> Column:
+    """Whole numbers of English texts in words, outside bracketed marks; only texts with figures reach the batch function."""
+
+    def run(s):
+        return s.map(lambda t: outside_brackets(t, lambda x: re.sub("[0-9]+", lambda m: spelled(int(m[0])), x)) if t is not None else None)
+
+    need = F.coalesce(_c(lang) == "en", F.lit(False)) & _c(text).rlike("[0-9]")
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(need, _c(text))), _c(text))
+
+
+def loudness(report: Column | str) -> Column:
+    """The last measurement of a mastering report as a map; null unless all of its parts are finite numbers."""
+    found = F.regexp_extract_all(F.coalesce(_c(report), F.lit("")), F.lit('(?s)(\\{\\s*"input_i".*?\\})'), 1)
+    m = F.from_json(F.try_element_at(found, F.lit(-1)), "map<string,string>")
+    parts = ("input_i", "input_lra", "input_tp", "input_thresh", "target_offset")
+    good = F.lit(True)
+    for p in parts:
+        v = F.lower(F.trim(F.coalesce(F.try_element_at(m, F.lit(p)), F.lit(""))))
+        good = good & ~v.isin("", "inf", "-inf", "nan")
+    return F.when(good, m)
+
+
+# ---------------------------------------------------------------- samples of recordings
+
+
+def zero_crossings(samples: Column | str) -> Column:
+    """The share of neighbouring samples whose signs differ; 0 for fewer than two."""
+    x = _c(samples)
+    n = F.size(x)
+    neg = F.transform(x, lambda v: (v < 0).cast("int"))
+    pairs = F.zip_with(F.slice(neg, 1, F.greatest(n - 1, F.lit(0))), F.slice(neg, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.abs(a - b))
+    return F.when(n < 2, 0.0).otherwise(F.aggregate(pairs, F.lit(0), lambda s, v: s + v) / F.greatest(n - 1, F.lit(1)))
+
+
+def expanded_reference(samples: Column | str, rate: int, short: float = 2.0, target: float = 4.0) -> Column:
+    """A recording shorter than ``short`` seconds repeated until it lasts ``target``; an empty one stays."""
+    x = _c(samples)
+    n = F.size(x)
+    return F.when((n > 0) & (n < short * rate), F.flatten(F.array_repeat(x, F.ceil(F.lit(int(target * rate)) / F.greatest(n, F.lit(1))).cast("int")))).otherwise(x)
+
+
+def split_lengths(total: Column | str, texts: Column | str) -> Column:
+    """How many of ``total`` samples each text gets, in proportion to its characters: one at least, the last takes the rest."""
+    n, weights = _c(total).cast("long"), F.transform(_c(texts), lambda t: F.greatest(F.lit(1), F.length(F.coalesce(t, F.lit("")))).cast("long"))
+    whole, k = F.aggregate(weights, F.lit(0).cast("long"), lambda s, w: s + w), F.size(weights)
+
+    def step(acc, w):
+        left = (k - F.size(acc["out"]) - 1).cast("long")
+        take = F.greatest(F.lit(1).cast("long"), F.least(F.bround(n * (w.cast("double") / whole), 0).cast("long"), n - acc["at"] - left))
+        take = F.when(left == 0, n - acc["at"]).otherwise(take)
+        return F.struct((acc["at"] + take).alias("at"), F.concat(acc["out"], F.array(take)).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(weights, start, step)["out"]

@@ -34,21 +34,33 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def marked_lines(rows: DataFrame, key: str) -> DataFrame:
     """Adds is_heading: explicit markers, and capitals in documents with fewer than two explicit markers."""
-    explicit = T.is_explicit_section("line")
-    count = F.sum(explicit.cast("int")).over(Window.partitionBy(key))
-    return rows.withColumn("is_heading", explicit | (T.is_caps_heading("line") & (count < 2)))
+    rows = rows.withColumn("_e", T.is_explicit_section("line"))
+    count = rows.groupBy(key).agg(F.sum(F.col("_e").cast("int")).alias("_n"))
+    return rows.join(count, key).withColumn("is_heading", F.col("_e") | (T.is_caps_heading("line") & (F.col("_n") < 2))).drop("_e", "_n")
 
 
-def islands(rows: DataFrame, key: str, flag: str = "is_heading", out: str = "island") -> DataFrame:
-    """Numbers the runs that each flagged row opens; rows before the first flag are island 0."""
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(out, F.sum(F.col(flag).cast("int")).over(w))
+def islands(rows: DataFrame, key: str, flag: str = "is_heading", out: str = "island", part: str | None = None) -> DataFrame:
+    """Numbers the runs that each flagged row opens; rows before the first flag are island 0.
 
-
-def chapters_of(rows: DataFrame, key: str, least: int = 100) -> DataFrame:
+    With ``part`` (which orders before pos, such as the chapter a line is in) the sum has two levels: inside a part, and over the totals of
+    the parts, so no task holds all rows of a long document.
+    """
+    n = F.col(flag).cast("int")
+    if part is None:
+        w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumn(out, F.sum(n).over(w))
+    inner = Window.partitionBy(key, part).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(key, part).agg(F.sum(n).alias("_t"))
+    before = sums.select(key, part, F.coalesce(F.sum("_t").over(whole), F.lit(0)).alias("_b"))
+    return rows.withColumn(out, F.sum(n).over(inner)).join(before, [key, part]).withColumn(out, F.col(out) + F.col("_b")).drop("_b")
+
+
+def chapters_of(rows: DataFrame, key: str, least: int = 100, part: str | None = None) -> DataFrame:
     """(key, order_num, title, content, words) from marked lines: sections between headings longer than ``least`` characters."""
-    rows = islands(rows, key)
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_heading"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
+    rows = islands(rows, key, part=part)
+    place = F.struct(part, "pos") if part else F.struct("pos")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_heading"), F.struct(place.alias("p"), "line")))), lambda x: x["line"]), "\n")
     made = rows.groupBy(key, "island").agg(F.max(F.when(F.col("is_heading"), F.col("line"))).alias("title"), body.alias("content"))
     made = made.withColumn("content", T.strip("content")).where(F.length("content") > least)
     order = F.row_number().over(Window.partitionBy(key).orderBy("island")) - 1
@@ -56,12 +68,12 @@ def chapters_of(rows: DataFrame, key: str, least: int = 100) -> DataFrame:
 
 
 _SECTION, _BACK, _SKIP, _COPY, _TOC = map(_py, (P.SECTION, P.BACK_MATTER, P.SKIP_TITLE, P.COPYRIGHT, P.TOC_CHAPTER))
-_LETTERS = re.compile("[A-ZÁÉÍÓÖŐÚÜŰ]{2,}")
+_LETTERS, _ROMAN, _INITIALS_LINE = map(re.compile, (P.CAPITALS, P.ROMAN, P.INITIALS_LINE))
 
 
 def caps_heading(line: str) -> bool:
     s = line.strip()
-    odd = s.endswith(":") or re.match(r"^[IVXLCDM]+\.?$", s, re.I) or re.match(r"^(?:[A-Z]\.\s*)+[A-Z]\.?$", s)
+    odd = s.endswith(":") or _ROMAN.match(s) or _INITIALS_LINE.match(s)
     return 3 < len(s) < 80 and s.isupper() and not odd and bool(_LETTERS.search(s))
 
 
@@ -138,8 +150,8 @@ def sentences(paragraph: str, units: bool = False) -> list[str]:
     return [s for x in made.split("\x00") if (s := restore(x).strip())]
 
 
-_SHORT_CAPS = re.compile(r"^[A-Z0-9][A-Z0-9 '&,:;.-]{1,80}$")
-_HEADING = _py(P.EPUB_SECTION)
+_SHORT_CAPS = re.compile(P.SHORT_CAPS)
+_HEADING = _py(P.TEXT_SECTION)
 _ENDS = re.compile('[.!?]["”]?$')
 
 
@@ -216,32 +228,32 @@ def merge(parts: list[str]) -> list[str]:
     return out
 
 
-_CLAUSE = re.compile("(?<=[,;:…、，：；])\\s+")
+_CLAUSE = re.compile(P.CLAUSE_END)
 
 
-def bounded(s: str, most: int = P.MAX_SEGMENT) -> list[str]:
-    """Pieces within the limit: refilled clause by clause, long clauses word by word, long words in fixed chunks."""
-    if len(s) <= most:
-        return [s]
-
-    def fill(items: list[str]) -> Iterator[str]:
-        buf = ""
-        for x in items:
-            if buf and len(buf) + 1 + len(x) > most:
-                yield buf
-                buf = ""
+def _fill(items: list[str], most: int, cut: Callable[[str], list[str]]) -> list[str]:
+    """Items joined by blanks up to the limit; one over the limit is cut by itself, and what follows it begins anew."""
+    out, buf = [], ""
+    for x in items:
+        if len(x) > most:
+            out += [buf] if buf else []
+            out += cut(x)
+            buf = ""
+        elif buf and len(buf) + 1 + len(x) > most:
+            out.append(buf)
+            buf = x
+        else:
             buf = f"{buf} {x}" if buf else x
-        if buf:
-            yield buf
+    return out + [buf] if buf else out
 
-    atoms: list[str] = []
-    for clause in _CLAUSE.split(s):
-        if len(clause) <= most:
-            atoms.append(clause)
-            continue
-        ws = [w[i : i + most] for w in clause.split() for i in range(0, len(w), most)]
-        atoms += list(fill(ws))
-    return list(fill(atoms))
+
+def bounded(s: str, most: int = P.MAX_SEGMENT) -> list[str]:
+    """Pieces within the limit: clauses refilled up to it, long clauses word by word, long words in fixed chunks."""
+    s = s.strip()
+    if len(s) <= most:
+        return [s] if s else []
+    clauses = [x for c in _CLAUSE.split(s) if (x := c.strip())]
+    return _fill(clauses, most, lambda c: _fill(c.split(), most, lambda w: [w[i : i + most] for i in range(0, len(w), most)]))
 
 
 def default_units(text: str, title: str = "") -> list[tuple[str, bool]]:

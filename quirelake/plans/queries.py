@@ -30,11 +30,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more  # noqa: F401  adds its queries to these
+
     return dict(_ALL)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(_SQL) if queries() else {}
 
 
 # ---------------------------------------------------------------- shared SQL
@@ -252,14 +254,23 @@ def r22_batched_update(spark, sf):
     return R.changed(s, new, ["id"], ["audio_path"]).select("id", "audio_path")
 
 
+_NINE = ("text", "enriched_text", "character_name", "instruct", "speed", "is_dialogue", "unit_index", "speaker_candidate", "ends_paragraph")
+_MADE = {
+    "text": "trim(text)", "enriched_text": "text", "character_name": "nullif(character_name, '')", "instruct": "coalesce(instruct, 'male')", "speed": "round(coalesce(speed, 1.0), 1)",
+    "is_dialogue": "CASE WHEN character_name IS NULL THEN 0 ELSE 1 END", "unit_index": "segment_index", "speaker_candidate": "0", "ends_paragraph": "CASE WHEN segment_index % 3 = 2 THEN 1 ELSE 0 END",
+}
+
+
 @query(f"""
-WITH s AS ({_SEGMENTS}) SELECT chapter_id, count(*) AS mismatches FROM s WHERE text IS DISTINCT FROM trim(text) OR speed IS DISTINCT FROM round(coalesce(speed, 1.0), 1) OR is_dialogue IS DISTINCT FROM (CASE WHEN character_name IS NULL THEN 0 ELSE 1 END) GROUP BY chapter_id
+WITH s AS ({_SEGMENTS}), n AS (SELECT chapter_id, segment_index, {', '.join(f'{v} AS {k}' for k, v in _MADE.items())} FROM s WHERE segment_index % 11 <> 10 OR segment_index < 10)
+SELECT s.chapter_id, count(*) AS mismatches FROM s LEFT JOIN n ON n.chapter_id = s.chapter_id AND n.segment_index = s.segment_index
+WHERE n.segment_index IS NULL OR {' OR '.join(f's.{c} IS DISTINCT FROM n.{c}' for c in _NINE)} GROUP BY s.chapter_id
 """)
 def r23_stale_chapters(spark, sf):
-    """Chapters whose stored segments differ from newly made ones."""
-    s = _segments(spark, sf, "id", "chapter_id", "segment_index", "text", "speed", "is_dialogue", "character_name").withColumn("key", F.col("id"))
-    made = s.select("chapter_id", "key", F.trim("text").alias("text"), F.round(F.coalesce("speed", F.lit(1.0)), 1).alias("speed"), F.when(F.col("character_name").isNull(), 0).otherwise(1).alias("is_dialogue"))
-    return R.stale_keys(s, made, ["chapter_id"], "key", ["text", "speed", "is_dialogue"])
+    """Chapters whose stored segments differ from others in any of nine columns, or in number, by place in the chapter."""
+    s = _segments(spark, sf, "id", "chapter_id", "segment_index", *_NINE)
+    made = s.where("segment_index % 11 <> 10 or segment_index < 10").select("chapter_id", "segment_index", *[F.expr(v).alias(k) for k, v in _MADE.items()])
+    return R.stale_keys(s, made, ["chapter_id"], "segment_index", list(_NINE))
 
 
 @query("SELECT id, substr(coalesce(text_excerpt, ''), 1, 200) AS excerpt FROM bookmarks")
@@ -315,7 +326,7 @@ def _sql_in(words) -> str:
 
 
 @query(f"""
-WITH w AS (SELECT id, regexp_extract_all(lower(substr(coalesce(content, ''), 1, 100000)), '[\\p{{L}}\\p{{M}}]+') AS ws, lower(substr(coalesce(content, ''), 1, 100000)) AS t FROM chapters),
+WITH w AS (SELECT id, regexp_extract_all(lower(substr(coalesce(content, ''), 1, 100000)), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+') AS ws, lower(substr(coalesce(content, ''), 1, 100000)) AS t FROM chapters),
 n AS (SELECT id, len(list_filter(ws, lambda x: x IN {_sql_in(P.HUNGARIAN)})) + 2 * (length(t) - length(translate(t, 'őű', ''))) AS hu, len(list_filter(ws, lambda x: x IN {_sql_in(P.ENGLISH)})) AS en FROM w)
 SELECT id, CAST(hu AS INTEGER) AS hu, CAST(en AS INTEGER) AS en, CASE WHEN hu >= 5 AND hu > en * 1.2 THEN 'hu' ELSE 'en' END AS lang FROM n
 """)
@@ -337,7 +348,8 @@ def t6_title_keys(spark, sf):
 SELECT id, md5(regexp_replace(translate(regexp_replace(coalesce(content, ''), '\\r\\n?', chr(10), 'g'), '\xa0​﻿�', ' '), '{P.CONTROL}', ' ', 'g')) AS digest FROM chapters
 """)
 def t1_normalised(spark, sf):
-    return table(spark, sf, "chapters", "id", "content").select("id", F.md5(T.normalise("content")).alias("digest"))
+    """All of the normaliser but composition, which the checking engine lacks (t1_composed has it)."""
+    return table(spark, sf, "chapters", "id", "content").select("id", F.md5(T.normalise("content", compose=False)).alias("digest"))
 
 
 _DIALOGUE_SQL = f"(regexp_matches(coalesce({{0}}, ''), {_q(P.PAIRED_QUOTE)}) OR regexp_matches(coalesce({{0}}, ''), {_q(P.DASH_SPEECH)}))"
@@ -369,7 +381,17 @@ def t12_tags_and_speeds(spark, sf):
     return a.select("id", "tag", "scene_speed", T.segment_speed("unit_text", "scene_speed", "d", "tag").alias("speed"))
 
 
-@query()
+_PLAIN_EV = "trim(regexp_replace(regexp_replace(lower(ev), '[^a-z0-9\\s'']', ' ', 'g'), '\\s+', ' ', 'g'))"
+_ASSENT_SQL = "('yes', 'yeah', 'yep', 'yup', 'okay', 'ok', 'sure', 'right', 'indeed', 'exactly', 'correct', 'of course', 'certainly', 'i know', 'i see', 'all right')"
+_ALL_TAGS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(ev, {_q(p)}) THEN '{t}'" for p, t in P.TAGS[:3]) + f" WHEN regexp_matches(ev, {_q(P.TAGS[3][0])}) AND {_PLAIN_EV} IN {_ASSENT_SQL} THEN '[confirmation-en]' END"
+
+
+@query(f"""
+WITH b AS (SELECT id, text AS x, coalesce(is_dialogue, 0) <> 0 AS d, regexp_extract({_sql_strip("coalesce(text, '')")}, '({P.PAIRED_QUOTE})', 1) AS q, {_sql_strip("coalesce(text, '')")} AS st FROM ({_SEGMENTS})),
+e AS (SELECT *, CASE WHEN q <> '' THEN concat_ws(' ', nullif({_sql_strip("substr(q, 2, length(q) - 2)")}, ''), nullif(trim(substr(st, 1, instr(st, q) - 1), ' ,.-'), ''), nullif(trim(substr(st, instr(st, q) + length(q)), ' ,.-'), '')) ELSE st END AS ev FROM b),
+t AS (SELECT *, CASE WHEN d THEN {_ALL_TAGS_SQL} END AS tag, regexp_extract(x, '({P.PAIRED_QUOTE})', 1) AS f FROM e)
+SELECT id, CASE WHEN tag IS NULL THEN x WHEN f <> '' THEN substr(x, 1, instr(x, f)) || tag || ' ' || {_sql_strip("substr(f, 2, length(f) - 2)")} || substr(x, instr(x, f) + length(f) - 1) ELSE {_sql_strip("tag || ' ' || x")} END AS enriched_text FROM t
+""")
 def t13_tagged_text(spark, sf):
     """The segments' text with the tag put where it belongs."""
     s = T.with_tag(_segments(spark, sf, "id", "text", "is_dialogue"), "text", F.coalesce("is_dialogue", F.lit(0)) != 0)
@@ -391,10 +413,13 @@ def t17_gender_by_name(spark, sf):
     return table(spark, sf, "characters", "id", "name").select("id", S.gender_by_name("name").alias("gender"))
 
 
-_SENT = r"string_split_regex(coalesce(content, ''), '[.!?]\s+')"
-
-
-@query()
+@query(r"""
+WITH s AS (SELECT book_id, unnest(string_split_regex(regexp_replace(coalesce(content, ''), '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1))) AS s FROM chapters),
+c AS (SELECT book_id, s, len(list_filter(string_split_regex(lower(s), '[^\p{L}\p{N}_]+'), lambda w: w IN ('he', 'him', 'his'))) AS he, len(list_filter(string_split_regex(lower(s), '[^\p{L}\p{N}_]+'), lambda w: w IN ('she', 'her', 'hers'))) AS she FROM s),
+n AS (SELECT DISTINCT book_id, name, list_filter(string_split_regex(name, '\s+'), lambda w: w <> '')[1] AS f FROM characters WHERE trim(name) <> ''),
+g AS (SELECT n.book_id, n.name, coalesce(sum(c.he), 0) AS male, coalesce(sum(c.she), 0) AS female FROM n LEFT JOIN c ON c.book_id = n.book_id AND c.he + c.she > 0 AND contains(c.s, n.f) GROUP BY 1, 2)
+SELECT book_id, name, CAST(male AS BIGINT) AS male, CAST(female AS BIGINT) AS female, CASE WHEN male > female THEN 'male' WHEN female > male THEN 'female' ELSE 'unknown' END AS gender FROM g
+""")
 def t18_gender_by_pronouns(spark, sf):
     """Pronouns of the sentences that name a character."""
     names = table(spark, sf, "characters", "book_id", "name")
@@ -458,7 +483,15 @@ def t31_legacy_glyphs(spark, sf):
     return table(spark, sf, "chapters", "id", "book_id", "content").join(b, "book_id").select("id", F.md5(T.repair_glyphs("content", "language")).alias("digest"))
 
 
-@query()
+# the cleaner in SQL: blanks, edge marks, fields behind a bar, "speech, Name" fragments, names of nobody
+_FLAT = f"string_split(trim(regexp_replace(coalesce(speaker_name, ''), '[{_B}]+', ' ', 'g'), E' \\t\\r\\n.,;:!?\"''„”'), '|')[1]"
+_COMMA = f"list_transform(string_split(trim({_FLAT}), ','), lambda x: trim(x))"
+_NWORDS = "len(list_filter(string_split({0}, ' '), lambda w: w <> ''))"
+_NAME_SQL = f"(CASE WHEN len({_COMMA}) = 2 AND {_NWORDS.format(_COMMA + '[1]')} > 1 AND {_NWORDS.format(_COMMA + '[2]')} BETWEEN 1 AND 3 THEN {_COMMA}[2] ELSE trim({_FLAT}) END)"
+_CLEAN_SPEAKER_SQL = f"(CASE WHEN lower({_NAME_SQL}) IN ('', 'narrator', 'narrátor', 'narration', 'elbeszélő', 'unknown', 'ismeretlen', 'none', 'null') THEN '' ELSE substr({_NAME_SQL}, 1, 120) END)"
+
+
+@query(f"SELECT id, {_CLEAN_SPEAKER_SQL} AS speaker FROM speaker_annotations")
 def t33_clean_speakers(spark, sf):
     return table(spark, sf, "speaker_annotations", "id", "speaker_name").select("id", T.clean_speaker("speaker_name").alias("speaker"))
 
@@ -493,40 +526,39 @@ _HEAD = f"(length({_sql_strip('line')}) BETWEEN 1 AND 150 AND regexp_matches({_s
 
 
 def _book_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The lines of each book: titles become lines before their chapters."""
-    c = table(spark, sf, "chapters", "book_id", "id", "order_num", "title", "content")
-    c = c.select("book_id", "id", "order_num", F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("content"))
-    rows = G.lines(c.withColumn("k", F.struct("book_id", "order_num", "id")), "k", "content")
-    return rows.select("k.book_id", (F.col("k.order_num").cast("long") * 1_000_000 + F.col("pos")).alias("pos"), "line")
+    """The lines of each book (book_id, part, pos, line): titles become lines before their chapters; a part is a chapter's place."""
+    c = table(spark, sf, "chapters", "book_id", "order_num", "title", "content")
+    c = c.select(F.struct("book_id", F.col("order_num").cast("long").alias("part")).alias("k"), F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("content"))
+    return G.lines(c, "k", "content").select("k.book_id", "k.part", "pos", "line")
 
 
 _BOOK_LINES = (
-    f"SELECT book_id, CAST(order_num AS BIGINT) * 1000000 + unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT book_id, order_num, regexp_split_to_array(regexp_replace(replace(concat_ws(chr(10), coalesce(title, ''), coalesce(content, '')), chr(13) || chr(10), chr(10)), '[{P.LINE_ENDS}]$', ''), '[{P.LINE_ENDS}]') AS l FROM chapters)"
+    f"SELECT book_id, CAST(order_num AS BIGINT) AS part, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT book_id, order_num, regexp_split_to_array(regexp_replace(replace(concat_ws(chr(10), coalesce(title, ''), coalesce(content, '')), chr(13) || chr(10), chr(10)), '[{P.LINE_ENDS}]$', ''), '[{P.LINE_ENDS}]') AS l FROM chapters)"
 )
 
 
-@query(f"SELECT book_id, pos, {_sql_strip('line')} AS title FROM ({_BOOK_LINES}) WHERE {_HEAD}")
+@query(f"SELECT book_id, part, CAST(pos AS INTEGER) AS pos, {_sql_strip('line')} AS title FROM ({_BOOK_LINES}) WHERE {_HEAD}")
 def g1_explicit_headings(spark, sf):
-    return _book_lines(spark, sf).where(T.is_explicit_section("line")).select("book_id", "pos", T.strip("line").alias("title"))
+    return _book_lines(spark, sf).where(T.is_explicit_section("line")).select("book_id", "part", "pos", T.strip("line").alias("title"))
 
 
 @query(f"""
-WITH m AS (SELECT *, {_HEAD} AS h FROM ({_BOOK_LINES})), i AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY pos) AS island, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY book_id) AS n FROM m),
-g AS (SELECT book_id, island, max(CASE WHEN h THEN line END) AS title, {_sql_strip("coalesce(string_agg(CASE WHEN NOT h THEN line END, chr(10) ORDER BY pos), '')")} AS content FROM i WHERE n >= 2 GROUP BY 1, 2)
+WITH m AS (SELECT *, {_HEAD} AS h FROM ({_BOOK_LINES})), i AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY part, pos) AS island, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY book_id) AS n FROM m),
+g AS (SELECT book_id, island, max(CASE WHEN h THEN line END) AS title, {_sql_strip("coalesce(string_agg(CASE WHEN NOT h THEN line END, chr(10) ORDER BY part, pos), '')")} AS content FROM i WHERE n >= 2 GROUP BY 1, 2)
 SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY island) - 1 AS INTEGER) AS order_num, {_sql_strip('title')} AS title, CAST(length(content) AS INTEGER) AS chars FROM g WHERE length(content) > 100
 """)
 def g2_chapter_islands(spark, sf):
     """Books cut anew at explicit headings (books that have at least two)."""
     rows = _book_lines(spark, sf).withColumn("is_heading", T.is_explicit_section("line"))
-    n = F.sum(F.col("is_heading").cast("int")).over(Window.partitionBy("book_id"))
-    made = G.chapters_of(rows.withColumn("n", n).where("n >= 2").drop("n"), "book_id")
+    some = rows.groupBy("book_id").agg(F.sum(F.col("is_heading").cast("int")).alias("n")).where("n >= 2")
+    made = G.chapters_of(rows.join(some.select("book_id"), "book_id", "left_semi"), "book_id", part="part")
     return made.select("book_id", "order_num", "title", F.length("content").alias("chars"))
 
 
 @query()
 def g3_chapters_adaptive(spark, sf):
     """As above, with headings in capitals for books without explicit ones."""
-    return G.chapters_of(G.marked_lines(_book_lines(spark, sf), "book_id"), "book_id").select("book_id", "order_num", "title", "words")
+    return G.chapters_of(G.marked_lines(_book_lines(spark, sf), "book_id"), "book_id", part="part").select("book_id", "order_num", "title", "words")
 
 
 @query()
@@ -581,24 +613,33 @@ def g10_found_speakers(spark, sf):
     return S.find_speakers(s, S.dialogue_pairs(chapters, "chapter_id", "content"), "chapter_id").select("chapter_id", "sentence_no", "speaker")
 
 
-@query()
+_SAID_SQL = "said|replied|asked|answered|whispered|shouted|cried|muttered|exclaimed|called|added|continued|laughed|sighed|groaned|snapped|retorted|insisted|demanded|pleaded|began|noted|observed|remarked"
+
+
+@query(f"""
+WITH c AS (SELECT book_id, order_num, id, regexp_extract_all(content, '\\b([A-Z][a-z]+(?:\\s[A-Z][a-z]+)?)\\s+(?:{_SAID_SQL})\\b', 1) AS one,
+ regexp_extract_all(content, '"[^"]{{3,}}"\\s*[,.]?\\s*([A-Z][a-z]+(?:\\s[A-Z][a-z]+)?)\\s+(?:said|replied|asked|whispered|shouted|cried|muttered|exclaimed|called)\\b', 1) AS two FROM chapters),
+m AS (SELECT book_id, 0 AS kind, order_num, id, unnest(range(len(one))) AS place, unnest(one) AS name FROM c UNION ALL SELECT book_id, 1, order_num, id, unnest(range(len(two))), unnest(two) FROM c),
+n AS (SELECT book_id, name, count(*) AS frequency, min((kind, order_num, id, place)) AS p FROM m GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY frequency DESC, p, name) AS r FROM n),
+k AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY frequency DESC, p, name) AS r2 FROM t WHERE r <= 40 AND length(name) >= 2
+ AND name NOT IN ('The', 'A', 'An', 'He', 'She', 'It', 'They', 'We', 'You', 'I', 'And', 'But', 'Or', 'So', 'As', 'In', 'On', 'At', 'By', 'For', 'His', 'Her', 'Their', 'Its', 'Our', 'Your'))
+SELECT book_id, name, frequency FROM k WHERE r2 <= 20
+""")
 def g12_mentions(spark, sf):
-    c = table(spark, sf, "chapters", "book_id", "order_num", "content")
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order_num", F.coalesce("content", F.lit("")).alias("t")))), lambda x: x["t"]), " ")
-    return S.mentions(c.groupBy("book_id").agg(body.alias("text")), "book_id", "text")
+    """The names most often said to speak in each book; chapters are read by themselves and their counts added up."""
+    return S.mentions(table(spark, sf, "chapters", "book_id", "order_num", "id", "content"), "book_id", "content", "order_num", "id")
 
 
 # ---------------------------------------------------------------- model replies, corrections
 
 
-@query("""
-WITH a AS (SELECT chapter_id, unit_index, id, speaker_name FROM speaker_annotations WHERE speaker_name NOT IN ('', 'Narrator', 'Unknown') AND NOT contains(speaker_name, '|') AND NOT contains(speaker_name, ',') AND regexp_matches(speaker_name, '^[A-Za-z ]+$') AND speaker_name = trim(speaker_name) AND NOT contains(speaker_name, '  '))
-SELECT chapter_id, unit_index AS unit_id, speaker_name AS speaker FROM (SELECT *, row_number() OVER (PARTITION BY chapter_id, unit_index ORDER BY id) AS n FROM a) WHERE n = 1
+@query(f"""
+WITH a AS (SELECT chapter_id, unit_index AS unit_id, id, {_CLEAN_SPEAKER_SQL} AS speaker FROM speaker_annotations WHERE unit_index IS NOT NULL)
+SELECT chapter_id, unit_id, speaker FROM (SELECT *, row_number() OVER (PARTITION BY chapter_id, unit_id ORDER BY id) AS n FROM a WHERE speaker <> '') WHERE n = 1
 """)
 def l8_assignments(spark, sf):
     """Replies in the model's JSON form, of all annotations as they are, read back: the first valid assignment of each unit holds.
-
-    The SQL covers plain ASCII names only, as it cannot say clean_speaker; the whole is tested against brute force.
     """
     a = table(spark, sf, "speaker_annotations", "chapter_id", "unit_index", "id", "speaker_name")
     text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
@@ -689,7 +730,13 @@ def b4_cache_partition(spark, sf):
     return hit.select("id", F.lit("hit").alias("part")).unionByName(miss.select("id", F.lit("miss").alias("part")))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE s AS MATERIALIZED (SELECT id, book_id, voice, size, row_number() OVER (PARTITION BY book_id, voice ORDER BY size, id) AS k FROM (SELECT id, book_id, coalesce(instruct, '') AS voice, length(coalesce(text, '')) AS size FROM ({_SEGMENTS}))),
+u AS (SELECT *, 1 AS n, size AS total, 0 AS pack_no FROM s WHERE k = 1 UNION ALL
+ SELECT s.id, s.book_id, s.voice, s.size, s.k, CASE WHEN u.n >= 8 OR u.total + s.size > 12000 THEN 1 ELSE u.n + 1 END, CASE WHEN u.n >= 8 OR u.total + s.size > 12000 THEN s.size ELSE u.total + s.size END,
+  CASE WHEN u.n >= 8 OR u.total + s.size > 12000 THEN u.pack_no + 1 ELSE u.pack_no END FROM u JOIN s ON s.book_id = u.book_id AND s.voice = u.voice AND s.k = u.k + 1)
+SELECT id, book_id, voice, CAST(size AS INTEGER) AS size, pack_no FROM u
+""")
 def b7_packs(spark, sf):
     """Segments of one voice, sorted by length, in packs of at most 8 items and 12,000 characters."""
     s = _segments(spark, sf, "id", "book_id", "instruct", "text").select("id", "book_id", F.coalesce("instruct", F.lit("")).alias("voice"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
@@ -737,7 +784,7 @@ def b14_stream_progress(spark, sf):
     root = shared_folder(spark, "progress")
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parq*")
     jobs.progress(stream, f"{root}/table", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/table").drop("v", "ts")
+    return jobs.last_version(spark, f"{root}/table").drop("ts")
 
 
 @query("""

@@ -96,9 +96,9 @@ def html_line_table(df: DataFrame, key: str, html: str) -> DataFrame:
     return df.select(key, F.posexplode(lines(html)).alias("pos", "line"))
 
 
-_HEAD, _DIVIDER, _FRONT, _BACK, _COPY = map(_py, (P.EPUB_SECTION, P.DIVIDER, P.FRONT_MATTER, P.BACK_MATTER, P.COPYRIGHT))
+_HEAD, _DIVIDER, _FRONT, _BACK, _COPY = map(_py, (P.EPUB_SECTION, P.DIVIDER, P.FRONT_MATTER, P.WEB_BACK_MATTER, P.WEB_COPYRIGHT))
 _CH = re.compile(r"\bchapter\s+(?:\d+|[ivxlcdm]+|" + P.NUMBER_WORDS + r")\b", re.I)
-_PROMO = re.compile(r"\bfeel free to tweet\b|\bevery writer likes to receive a review\b|\bother books by\b", re.I)
+_PROMO = _py(P.PROMOTION)
 
 
 def is_heading(line: str) -> bool:

@@ -8,8 +8,8 @@ from ..operators.store import replace_partitions
 
 
 def write_segments(segments: DataFrame, path: str) -> None:
-    """Replaces the stored segments of the books the frame has rows for, and no others."""
-    replace_partitions(segments, path, ["book_id"])
+    """Replaces the stored segments of the chapters the frame has rows for, and no others."""
+    replace_partitions(segments, path, ["book_id", "chapter_id"])
 
 
 def write_bodies(bodies: DataFrame, path: str, by: list[str]) -> None:
