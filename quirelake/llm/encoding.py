@@ -5,7 +5,7 @@ Each suspicious word is the start of a best-first search. States are texts and b
 (entities and escapes). Visited states are hashed, the queue is ordered by a character-plausibility cost, and
 the cheapest reachable text wins if it gains enough over the stored one.
 
-The search ends when the queue is empty. It does end: no state may cost more than the stored word by over one nat, undoing UTF-8 and
+The search ends at the first text taken from the queue that no operation makes cheaper (all others waiting are dearer), or when the queue is empty. It does end: no state may cost more than the stored word by over one nat, undoing UTF-8 and
 unescaping shorten the text, and a swap of code pages behind the first step starts from a suspicious state and has to gain what any
 swap has to gain. So chains of any length and order of operations are searched; each operation has a price, so that a longer chain
 has to explain the word better than a shorter one.
@@ -249,6 +249,7 @@ def search(word: str, start: float, model: Plausibility, established: tuple[str,
         _, _, state, multi, cost, paid = heapq.heappop(queue)
         first = state == word
         swaps = first or bool(_BROKEN.search(state)) or _suspicious(state, model)
+        goal = not first
         for x, undone, pages in _readings(state, swaps):
             if (h := hash(x)) in seen:
                 continue
@@ -266,7 +267,10 @@ def search(word: str, start: float, model: Plausibility, established: tuple[str,
                 if first and pages == established:
                     same = max(same, (gain, x))
             n += 1
+            goal = goal and c + price >= cost + paid
             heapq.heappush(queue, (c + price, n, x, undone or multi, c, price))
+        if goal:
+            break
     if many[0] >= (GAIN_MULTI / 2 if _LEAD.search(word) else GAIN_MULTI) and (many[0] >= one[0] - 6 or many[0] >= 0.5 * one[0]):
         return many[1], many[0], None
     if established and same[0] >= GAIN_SAME_TEXT:
