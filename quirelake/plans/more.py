@@ -165,14 +165,14 @@ def t32_framed_replies(spark, sf):
 
 
 @query(f"""
-WITH j AS (SELECT chapter_id, count(*) AS total, count(audio_path) AS done, coalesce(sum(duration_sec) FILTER (WHERE audio_path IS NOT NULL), 0) * 60 AS e FROM ({_SEGMENTS}) GROUP BY chapter_id),
+WITH j AS (SELECT chapter_id, count(*) AS total, count(audio_path) AS done, CAST(round(coalesce(sum(duration_sec) FILTER (WHERE audio_path IS NOT NULL), 0) * 60) AS BIGINT) AS e FROM ({_SEGMENTS}) GROUP BY chapter_id),
 s AS (SELECT chapter_id, CASE WHEN done < total AND e >= 3 AND done > 0 THEN CAST(round_even((total - done) / (done / e), 0) AS BIGINT) END AS s FROM j)
 SELECT chapter_id, CASE WHEN s IS NULL THEN '' WHEN s < 60 THEN printf('%ds', s) WHEN s // 60 < 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%dh %02dm', s // 3600, s // 60 % 60) END AS eta FROM s
 """)
 def t37_eta_texts(spark, sf):
     """How long the rest of each chapter would take at the pace so far (a minute of work a second of audio)."""
     s = _segments(spark, sf, "id", "chapter_id", "audio_path", "duration_sec")
-    j = s.groupBy("chapter_id").agg(F.count("*").alias("total"), F.count("audio_path").alias("done"), (F.coalesce(F.sum(F.when(F.col("audio_path").isNotNull(), F.col("duration_sec"))), F.lit(0.0)) * 60).alias("e"))
+    j = s.groupBy("chapter_id").agg(F.count("*").alias("total"), F.count("audio_path").alias("done"), (F.coalesce(F.sum(F.when(F.col("audio_path").isNotNull(), F.col("duration_sec"))), F.lit(0.0)) * 60).alias("e")).withColumn("e", F.round("e").cast("long"))
     return j.select("chapter_id", T.eta_text(T.eta_seconds("done", "total", "e")).alias("eta"))
 
 

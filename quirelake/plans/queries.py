@@ -414,12 +414,12 @@ def t17_gender_by_name(spark, sf):
 
 
 @query(r"""
-WITH s AS (SELECT book_id, unnest(string_split_regex(regexp_replace(coalesce(content, ''), '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1))) AS s FROM chapters),
+WITH s AS (SELECT book_id, unnest(string_split_regex(regexp_replace(coalesce(content, ''), '([.!?])[BLANKS]+', '\1' || chr(1), 'g'), chr(1))) AS s FROM chapters),
 c AS (SELECT book_id, s, len(list_filter(string_split_regex(lower(s), '[^\p{L}\p{N}_]+'), lambda w: w IN ('he', 'him', 'his'))) AS he, len(list_filter(string_split_regex(lower(s), '[^\p{L}\p{N}_]+'), lambda w: w IN ('she', 'her', 'hers'))) AS she FROM s),
 n AS (SELECT DISTINCT book_id, name, list_filter(string_split_regex(name, '\s+'), lambda w: w <> '')[1] AS f FROM characters WHERE trim(name) <> ''),
 g AS (SELECT n.book_id, n.name, coalesce(sum(c.he), 0) AS male, coalesce(sum(c.she), 0) AS female FROM n LEFT JOIN c ON c.book_id = n.book_id AND c.he + c.she > 0 AND contains(c.s, n.f) GROUP BY 1, 2)
 SELECT book_id, name, CAST(male AS BIGINT) AS male, CAST(female AS BIGINT) AS female, CASE WHEN male > female THEN 'male' WHEN female > male THEN 'female' ELSE 'unknown' END AS gender FROM g
-""")
+""".replace("BLANKS", _B))
 def t18_gender_by_pronouns(spark, sf):
     """Pronouns of the sentences that name a character."""
     names = table(spark, sf, "characters", "book_id", "name")
