@@ -249,7 +249,7 @@ def search(word: str, start: float, model: Plausibility, established: tuple[str,
         _, _, state, multi, cost, paid = heapq.heappop(queue)
         first = state == word
         swaps = first or bool(_BROKEN.search(state)) or _suspicious(state, model)
-        goal = not first
+        goal = multi  # one that only swapped pages does not end it, as undoing UTF-8 goes before
         for x, undone, pages in _readings(state, swaps):
             if (h := hash(x)) in seen:
                 continue
