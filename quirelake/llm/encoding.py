@@ -31,7 +31,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -361,6 +361,14 @@ def rewrite(text: str, found: dict[str, Verdict], model: Plausibility) -> tuple[
     return _WORD.sub(each, text), bad, lost
 
 
+def prepare(texts: Iterable[str | None], model: Plausibility, memo: dict) -> None:
+    """Puts the verdicts on all words of several texts into the memo at once."""
+    new = sorted(set().union(*map(odd_words, texts)) - memo.keys())
+    memo.update(dict.fromkeys(new))
+    ask = [w for w in new if to_search(w, model)]
+    memo.update(zip(ask, judge(ask, model)))
+
+
 def repair(text: str | None, model: Plausibility, memo: dict) -> tuple[str | None, int, int]:
     """(repaired text, garbled words, words past repair) of one text; ``memo`` keeps verdicts between texts."""
     odd = [w for w in odd_words(text) if w not in memo]

@@ -72,10 +72,16 @@ FORMS = set("company co corp corporation ltd inc limited tarsasag tars gesellsch
 _EAST = re.compile("[぀-ヿ㐀-鿿]")
 
 
+def _consistent(s: str) -> str:
+    """The consistent form; most names are in it already and are not sent through the arrays one by one."""
+    same = s.isascii() or unicodedata.is_normalized("NFC", s) and not any(map(encoding._foldable, s))
+    return s if same else fold_str(s)
+
+
 @lru_cache(200_000)
 def parse(name: str) -> tuple[tuple[tuple[str, bool], ...], bool]:
     """((token, is it an abbreviation), ...) and whether a form of address was stripped."""
-    s = fold_str(name.lower()).replace("_", " ").replace("・", " ").strip()  # small letters first: look-alikes differ by case
+    s = _consistent(name.lower()).replace("_", " ").replace("・", " ").strip()  # small letters first: look-alikes differ by case
     if s.count(",") == 1:
         a, b = s.split(",")
         s = b.strip() + " " + a.strip()
@@ -365,6 +371,8 @@ def variant_classes(names: DataFrame, group: str, name: str, model: encoding.Pla
         own, memo = encoding.Plausibility(shared.value) if shared.value else None, {}
         for b in batches:
             rows = []
+            if own:
+                encoding.prepare(b["name"], own, memo)
             for g, n in zip(b["g"], b["name"]):
                 clean = encoding.repair(n, own, memo)[0] if own else n
                 k = kind(clean) if n.strip().casefold() not in PLACEHOLDERS else ""
