@@ -48,7 +48,7 @@ def s17_html_lines(spark, sf):
     return rows.groupBy("id").agg(F.count("*").alias("lines"), F.md5(body).alias("digest"))
 
 
-_BLOCKS = f"SELECT id, pos, {_sql_strip('line')} AS text, CASE WHEN length(line) % 5 = 0 AND length(line) < 60 THEN 18.0 ELSE 12.0 END AS size FROM ({_LINES}) WHERE {_sql_strip('line')} <> ''"
+_BLOCKS = f"SELECT id, pos, {_sql_strip('line')} AS text, CASE WHEN length(line) % 5 = 0 AND length(line) < 60 THEN CAST(18 AS DOUBLE) ELSE CAST(12 AS DOUBLE) END AS size FROM ({_LINES}) WHERE {_sql_strip('line')} <> ''"
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,7 +212,7 @@ def t44_split_audio(spark, sf):
     return g.select("chapter_id", "pack", F.posexplode(T.split_lengths(F.lit(24_000), "texts")).alias("place", "samples"))
 
 
-@query("SELECT id, CASE WHEN c IN ('hu', 'en') THEN c ELSE 'en' END AS lang, greatest(1, least(coalesce(total_chapters, 60), 200)) * 1.0 AS bounded, CAST(CASE WHEN t <= 12 THEN 8 WHEN t <= 20 THEN 16 WHEN t <= 28 THEN 24 ELSE 32 END AS INTEGER) AS step FROM (SELECT id, total_chapters, coalesce(total_chapters, 16) AS t, lower(trim(coalesce(language, 'en'))) AS c FROM books)")
+@query("SELECT id, CASE WHEN c IN ('hu', 'en') THEN c ELSE 'en' END AS lang, greatest(1, least(coalesce(total_chapters, 60), 200)) * CAST(1 AS DOUBLE) AS bounded, CAST(CASE WHEN t <= 12 THEN 8 WHEN t <= 20 THEN 16 WHEN t <= 28 THEN 24 ELSE 32 END AS INTEGER) AS step FROM (SELECT id, total_chapters, coalesce(total_chapters, 16) AS t, lower(trim(coalesce(language, 'en'))) AS c FROM books)")
 def t45_bounded_settings(spark, sf):
     """Values held to a list, to bounds and to steps."""
     b = table(spark, sf, "books", "id", "language", "total_chapters")
@@ -532,7 +532,7 @@ r AS (SELECT a.*, c.here, c.scope, c.who, c.hi, t.turn AS t FROM a JOIN c ON c.c
 x AS (SELECT *, CASE scope WHEN 'sentence' THEN unit_index = here WHEN 'turn' THEN coalesce(turn = t AND cand, false) OR (t IS NULL AND unit_index = here) WHEN 'turn_tail' THEN (coalesce(turn = t AND cand, false) OR (t IS NULL AND unit_index = here)) AND unit_index >= here ELSE unit_index BETWEEN here AND hi END AS chosen,
  scope = 'range' AND who <> '' AND unit_index > hi AS tail FROM r),
 y AS (SELECT *, min(CASE WHEN tail AND lower(trim(coalesce(sp, ''))) <> lower(who) THEN unit_index END) OVER (PARTITION BY chapter_id) AS stop FROM x)
-SELECT chapter_id, unit_index, CASE WHEN chosen THEN who ELSE '' END AS speaker_name, 1.0 AS confidence, 'manual' AS source FROM y WHERE chosen OR (tail AND (stop IS NULL OR unit_index < stop))
+SELECT chapter_id, unit_index, CASE WHEN chosen THEN who ELSE '' END AS speaker_name, CAST(1.0 AS DOUBLE) AS confidence, 'manual' AS source FROM y WHERE chosen OR (tail AND (stop IS NULL OR unit_index < stop))
 """)
 def c1_corrections(spark, sf):
     """One correction a chapter, of all four scopes: the manual annotations they make, the cleared run behind a range included."""
